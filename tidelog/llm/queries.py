@@ -21,9 +21,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import contract
+
+    return contract(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE, judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "kept", "llr")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op3_sharding": op3_sharding,
+        "op8_quality_rules": op8_quality_rules,
     }
 
 
