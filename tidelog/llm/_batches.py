@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled at once by numpy code; bounds a Python worker's memory.
 CHUNK_BYTES = 2 << 20
@@ -20,7 +21,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     n = batch.num_rows
     if n == 0:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if total and total + size > limit:
@@ -45,7 +46,7 @@ def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "tex
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the n + 1 offsets of the rows (null: empty)."""
-    col = pa.compute.fill_null(batch.column(column), "")
+    col = pc.fill_null(batch.column(column), "")
     col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
     _, offsets, data = col.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[col.offset : col.offset + len(col) + 1]

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -301,7 +302,7 @@ def decode(df: DataFrame, model_path: str, *, ids: str = "ids", decoded: str = "
                 part = batch.slice(start, 256)
                 column = part.column(ids)
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = pa.array(codec(model_path).decode_texts(flat, counts), pa.string())
                 kept = [n for n in part.schema.names if n != decoded]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), texts], [*kept, decoded])
