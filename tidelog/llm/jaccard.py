@@ -19,7 +19,8 @@ other's.
 Classes that share a key are compared with the least of them; components of
 the verified links are formed, and groups in which a comparison failed are
 gone through again for pairs between components. Pairs are first tested by
-the Hamming distance of 1024-bit parity sketches, then exactly.
+the Hamming distance of bit sketches, in which a shingle flips one bit, then
+exactly.
 
 Cases with a defined result: a null text or one without words has an empty
 set, links with nothing and is its own component; a text of fewer than five
@@ -49,6 +50,8 @@ SHINGLE = 5
 BAND = 3
 #: Documents in the sample that shows which symbols are common, and how often one occurs in it to be so.
 SAMPLE, COMMON = 16_384, 12
+#: Bits of the sketch that pairs are tested by.
+BITS = 2048
 #: Keys a task gets in the join, about.
 KEYS_PER_BUCKET = 1_000_000
 #: Rows of candidates up to which they are broadcast instead of shuffling the texts.
@@ -142,19 +145,21 @@ def keys_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def parity(s: np.ndarray) -> bytes:
-    """1024 bits; each shingle flips one."""
-    return np.packbits((np.bincount((s & _U(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).tobytes()
+    """``BITS`` bits; each shingle flips one."""
+    return np.packbits((np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _members(df: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, sig, sketch) of every document; sig and sketch are null without shingles."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())],
-            ["doc_id", "n_shingles", "sig"],
-        )
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+        sketches = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, sigs, sketches], ["doc_id", "n_shingles", "sig", "sketch"])
 
-    return df.mapInArrow(arrow_map(run), "doc_id long, n_shingles long, sig long")
+    return df.mapInArrow(arrow_map(run), "doc_id long, n_shingles long, sig long, sketch binary")
 
 
 def _common_keys(df: DataFrame, rows: int) -> np.ndarray:
@@ -221,39 +226,43 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "hub long, members array<long>")
 
 
-def _sets(df: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, n, sketch, shingles) of the classes in ``nodes`` (sig)."""
-    picked = written(members.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
-    few = picked.count() <= BROADCAST_ROWS
-    texts = df.join(F.broadcast(picked) if few else picked, "doc_id")
+def _near(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """Whether pairs may link, by sizes and by the Hamming distance of their sketches."""
+    sizes = 100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b)
+    return sizes & (7 * np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64) <= n_a + n_b)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(int(g), len(s), parity(s), s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), shingle_sets(batch), strict=True) if signature(s) == g]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["sig", "n", "sketch", "shingles"])
 
-    return texts.select("sig", "text").mapInArrow(arrow_map(run), "sig long, n long, sketch binary, shingles binary").dropDuplicates(["sig"])
+def _bits(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), _U).reshape(-1, BITS // 64)
 
 
-def _near(n_a, n_b, sketch_a, sketch_b) -> np.ndarray:
-    """Whether pairs may link, by sizes and by the Hamming distance of their sketches."""
-    near = (100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b)) & (n_a + n_b > 0)
-    index = np.flatnonzero(near)
-    if len(index):
-        a = np.frombuffer(b"".join(sketch_a[i] for i in index), _U).reshape(-1, 16)
-        b = np.frombuffer(b"".join(sketch_b[i] for i in index), _U).reshape(-1, 16)
-        near[index] = 7 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n_a[index] + n_b[index]
-    return near
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of both classes, named with _a and _b."""
+    side = lambda x: table.select(*[F.col(c).alias(x if c == "sig" else f"{c}_{x}") for c in table.columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    slim = sets.select("sig", "n", "sketch")
-    side = lambda t, x: t.select(*[F.col(c).alias(x if c == "sig" else f"{c}_{x}") for c in t.columns])
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches don't rule out."""
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p.loc[_near(p["n_a"].to_numpy(), p["n_b"].to_numpy(), p["sketch_a"].tolist(), p["sketch_b"].tolist()), ["a", "b"]]
+            if len(p):
+                yield p.loc[_near(p["n_a"].to_numpy(), p["n_b"].to_numpy(), _bits(p["sketch_a"]), _bits(p["sketch_b"])), ["a", "b"]]
+
+    return _beside(pairs, classes.select("sig", "n", "sketch")).mapInPandas(run, "a long, b long")
+
+
+def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, from the shingles of both."""
+    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+    picked = written(classes.join(nodes, "sig", "left_semi").select("sig", F.col("least").alias("doc_id")))
+    few = picked.count() <= BROADCAST_ROWS
+    texts = df.join(F.broadcast(picked) if few else picked, "doc_id").select("sig", "text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(int(g), s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), shingle_sets(batch), strict=True) if signature(s) == g]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "shingles"])
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -264,34 +273,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 75 * (len(s) + len(t) - both))
             yield p.loc[np.array(good, bool), ["a", "b"]]
 
-    left = written(pairs.join(side(slim, "a"), "a").join(side(slim, "b"), "b").mapInPandas(likely, "a long, b long"))
-    full = sets.select("sig", "shingles")
-    return left.join(side(full, "a"), "a").join(side(full, "b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInPandas(exact, "a long, b long")
+    sets = written(texts.mapInArrow(arrow_map(shingles), "sig long, shingles binary"))
+    return _beside(pairs, sets).select("a", "b", "shingles_a", "shingles_b").mapInPandas(exact, "a long, b long").distinct()
 
 
-def _second_pairs(groups: DataFrame, failed: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs between components inside groups that hold a failed comparison."""
+def _second_pairs(groups: DataFrame, failed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely pairs between components inside groups that hold a failed comparison."""
     hubs = failed.select(F.col("a").alias("hub")).distinct()
     again = groups.filter(F.size("members") > 1).join(hubs, "hub", "left_semi").select(F.concat(F.array("hub"), "members").alias("all")).distinct()
-    flat = written(again.select(F.xxhash64("all").alias("g"), F.size("all").alias("k"), F.explode("all").alias("sig")))
-    named = flat.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    flat = again.select(F.xxhash64("all").alias("g"), F.explode("all").alias("sig"))
+    named = written(flat.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     mixed = written(named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g"))
-    full = written(named.join(mixed, "g", "left_semi")).join(sets.select("sig", "n", "sketch"), "sig")
+    full = named.join(mixed, "g", "left_semi").join(classes.select("sig", "n", "sketch"), "sig")
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("sig").sort_values("n", kind="stable")
         n, root, sig = (pdf[c].to_numpy() for c in ("n", "root", "sig"))
-        bits = np.frombuffer(b"".join(pdf["sketch"]), _U).reshape(-1, 16)
-        out_a, out_b = [], []
-        for i in range(len(n)):  # each with the larger sets that may link, a block of memory at a time
+        bits = _bits(pdf["sketch"])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(n)):  # each with the larger sets that may link
             stop = int(np.searchsorted(n, n[i] * 100 // 75, side="right"))
             j = np.arange(i + 1, stop)
             j = j[root[j] != root[i]]
-            j = j[7 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
+            j = j[_near(n[j], n[i], bits[j], bits[i])]
             out_a.append(np.minimum(sig[j], sig[i]))
             out_b.append(np.maximum(sig[j], sig[i]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": a, "b": np.concatenate(out_b) if out_b else a})
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return full.groupBy("g").applyInPandas(cross, "a long, b long").distinct()
 
@@ -301,24 +308,21 @@ def join(df: DataFrame) -> DataFrame:
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = written(_members(texts))
     size = members.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
+    known = members.filter("sig is not null")
+    classes = written(known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(48, -(-int(size["n"] or 0) // (2 * KEYS_PER_BUCKET)))
     groups = written(_groups(texts, buckets, _common_keys(texts, size["rows"])))
     pairs = written(groups.select(F.col("hub").alias("a"), F.explode("members").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    known = members.filter("sig is not null")
-    sets = written(_sets(texts, known, nodes))
-    links = written(_verified(pairs, sets))
+    likely = written(_likely(pairs, classes))
+    links = written(_verified(texts, likely, classes))
     roots = written(components(links))
     failed = pairs.join(links, ["a", "b"], "left_anti")
-    more = written(_verified(written(_second_pairs(groups, failed, roots, sets)), sets))
-    if not more.isEmpty():
-        roots = written(components(links.union(more)))
-    classes = known.groupBy("sig").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rooted = written(rooted)
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component")
-    named = written(named)
-    found = members.join(named, "sig", "left")
+    again = written(_second_pairs(groups, failed, roots, classes).join(likely, ["a", "b"], "left_anti"))
+    if not again.isEmpty():
+        roots = written(components(links.union(_verified(texts, again, classes))))
+    rooted = written(classes.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component"))
+    found = members.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
