@@ -33,6 +33,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import contract
+
+    return contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest_search import contract
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_sharding": op3_sharding,
+        "op4_toxicity": op4_toxicity,
         "op5_forest_search": op5_forest_search,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op8_quality_rules": op8_quality_rules,
