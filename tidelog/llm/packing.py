@@ -40,8 +40,8 @@ CAPACITY = 4096
 BINS = 128
 #: Ranks within a length are counted in this many groups of rows.
 GROUPS = 256
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Words and recent whole texts whose ids a worker keeps.
+CACHE_WORDS, CACHE_TEXTS = 400_000, 3_000
 
 # -- tokens -------------------------------------------------------------------
 
@@ -49,10 +49,18 @@ CACHE_WORDS = 400_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _DIGITS = "0-9²³¹¼-¾"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\t-\r \x85\xa0{_LETTERS}{_DIGITS}]+").findall
-_WIDE = re.compile("[^\x00-\xff]").search
 _SPACES = re.compile("[ \t\n\r]+").split
 
 
+def _narrow(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokens:
     """Ids of whole texts, word by word, with the library's ids of each word kept.
 
@@ -69,28 +77,31 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        known, split, missing = self.known, [], set()
+        known, split, seen = self.known, [], set()
         for t in texts:
             t = t or ""
-            if any(s in t for s in self.special) or _WIDE(t):
+            if t in self.recent:
+                split.append(self.recent[t])
+                continue
+            if any(map(t.__contains__, self.special)) or not (t.isascii() or _narrow(t)):
                 words = _SPACES(t)
             else:
                 words = _WORDS(t.lower())
-            parts = list(map(known.get, words))
-            if None in parts:
-                missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
-                split.append(words)
-            else:
-                split.append(b"".join(parts))
-        new = list(missing)
+            seen.update(words)
+            split.append(words)
+        new = list(seen.difference(known))
         known.update(zip(new, self._library(new), strict=True))
         out = [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in split]
+        if len(self.recent) > CACHE_TEXTS:
+            self.recent.clear()
+        self.recent.update((t, x) for t, x in zip(texts, out, strict=True) if t)
         if len(known) > CACHE_WORDS:
             for w in new:
                 del known[w]
