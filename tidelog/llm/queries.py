@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .tables import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -18,7 +18,7 @@ def _tokenizer(name: str) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import digests
 
-    return digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
