@@ -19,8 +19,8 @@ other's.
 Classes that share a key are compared with the least of them; components of
 the verified links are formed, and groups in which a comparison failed are
 gone through again for pairs between components. Pairs are first tested by
-the Hamming distance of bit sketches, in which a shingle flips one bit, then
-exactly.
+the Hamming distance of bit sketches, in which a shingle flips one bit and
+which have as many bits as the sets have shingles, then exactly.
 
 Cases with a defined result: a null text or one without words has an empty
 set, links with nothing and is its own component; a text of fewer than five
@@ -48,10 +48,8 @@ from .storage import written
 SHINGLE = 5
 #: Size bands grow by this factor.
 BAND = 3
-#: Documents in the sample that shows which symbols are common, and how often one occurs in it to be so.
-SAMPLE, COMMON = 16_384, 12
-#: Bits of the sketch that pairs are tested by.
-BITS = 2048
+#: Documents in the sample that shows which symbols are common, how often one occurs in it to be so, and the most that are told apart.
+SAMPLE, COMMON, MOST_COMMON = 16_384, 2, 1 << 20
 #: Keys a task gets in the join, about.
 KEYS_PER_BUCKET = 1_000_000
 #: Rows of candidates up to which they are broadcast instead of shuffling the texts.
@@ -123,7 +121,7 @@ def keys_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.
     with np.errstate(over="ignore"):
         key = mix(symbol + part_of * _U(0x9FB21C651E98DF25) + table[job_of, 1].astype(_U) * _U(0xD6E8FEB86659FD93), 11)
     # rank of each symbol among its set's: rare ones first, then by part
-    often = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+    often = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
     first = np.flatnonzero(np.append(True, job_of[1:] != job_of[:-1]))
     filled = np.diff(np.append(first, len(key)))
     rare_n = np.add.reduceat((~often).astype(np.int64), first)
@@ -144,22 +142,37 @@ def keys_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate(owner)
 
 
+def bits_of(n):
+    """Bits of the sketch of a set of size n: the power of two from n on."""
+    return 1 << np.maximum(9, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+
+
 def parity(s: np.ndarray) -> bytes:
-    """``BITS`` bits; each shingle flips one."""
-    return np.packbits((np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """A bit sketch; each shingle flips one bit."""
+    bits = int(bits_of(len(s)))
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, bits: int) -> np.ndarray:
+    """A sketch with fewer bits: halves are XORed."""
+    words = np.frombuffer(sketch, _U)
+    while 64 * len(words) > bits:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def _members(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig, sketch) of every document; sig and sketch are null without shingles."""
+    """(doc_id, t, n_shingles, sig, sketch) of every document, t being a hash of the text; sig and sketch are null without shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch)
         sizes = pa.array([len(s) for s in sets], pa.int64())
         sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
         sketches = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, sigs, sketches], ["doc_id", "n_shingles", "sig", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), sizes, sigs, sketches], ["doc_id", "t", "n_shingles", "sig", "sketch"])
 
-    return df.mapInArrow(arrow_map(run), "doc_id long, n_shingles long, sig long, sketch binary")
+    keyed = df.withColumn("t", F.xxhash64("text"))
+    return keyed.mapInArrow(arrow_map(run), "doc_id long, t long, n_shingles long, sig long, sketch binary")
 
 
 def _common_keys(df: DataFrame, rows: int) -> np.ndarray:
@@ -171,7 +184,7 @@ def _common_keys(df: DataFrame, rows: int) -> np.ndarray:
 
     every = max(1, rows // SAMPLE)
     sample = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    often = sample.mapInArrow(arrow_map(run), "key long").groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(1 << 17)
+    often = sample.mapInArrow(arrow_map(run), "key long").groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
     return np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(_U))
 
 
@@ -226,14 +239,12 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(meet, "hub long, members array<long>")
 
 
-def _near(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
-    """Whether pairs may link, by sizes and by the Hamming distance of their sketches."""
-    sizes = 100 * np.minimum(n_a, n_b) >= 75 * np.maximum(n_a, n_b)
-    return sizes & (7 * np.bitwise_count(bits_a ^ bits_b).sum(axis=-1, dtype=np.int64) <= n_a + n_b)
-
-
-def _bits(sketches) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), _U).reshape(-1, BITS // 64)
+def _may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
+    """What sizes and the Hamming distance of the sketches allow."""
+    if 100 * min(n_a, n_b) < 75 * max(n_a, n_b):
+        return False
+    bits = 8 * min(len(sketch_a), len(sketch_b))
+    return 7 * int(np.bitwise_count(_folded(sketch_a, bits) ^ _folded(sketch_b, bits)).sum()) <= n_a + n_b
 
 
 def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -247,8 +258,8 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            if len(p):
-                yield p.loc[_near(p["n_a"].to_numpy(), p["n_b"].to_numpy(), _bits(p["sketch_a"]), _bits(p["sketch_b"])), ["a", "b"]]
+            good = [_may_link(*x) for x in zip(p["n_a"], p["n_b"], p["sketch_a"], p["sketch_b"], strict=True)]
+            yield p.loc[np.array(good, bool), ["a", "b"]]
 
     return _beside(pairs, classes.select("sig", "n", "sketch")).mapInPandas(run, "a long, b long")
 
@@ -289,22 +300,27 @@ def _second_pairs(groups: DataFrame, failed: DataFrame, roots: DataFrame, classe
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("sig").sort_values("n", kind="stable")
         n, root, sig = (pdf[c].to_numpy() for c in ("n", "root", "sig"))
-        bits = _bits(pdf["sketch"])
+        sketches, bits = pdf["sketch"].tolist(), bits_of(n)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(n)):  # each with the larger sets that may link
-            stop = int(np.searchsorted(n, n[i] * 100 // 75, side="right"))
-            j = np.arange(i + 1, stop)
-            j = j[root[j] != root[i]]
-            j = j[_near(n[j], n[i], bits[j], bits[i])]
-            out_a.append(np.minimum(sig[j], sig[i]))
-            out_b.append(np.maximum(sig[j], sig[i]))
+        for m in np.unique(bits).tolist():  # partners of larger size have as many bits or twice as many
+            low, own, high = np.searchsorted(bits, [m, m + 1, 2 * m + 1]).tolist()
+            table = np.stack([_folded(x, m) for x in sketches[low:high]])
+            for i in range(low, own):  # each with the larger sets that may link
+                stop = min(high, int(np.searchsorted(n, n[i] * 100 // 75, side="right")))
+                j = np.arange(i + 1, stop)
+                j = j[root[j] != root[i]]
+                if len(j):
+                    apart = np.bitwise_count(table[j - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
+                    j = j[7 * apart <= n[j] + n[i]]
+                    out_a.append(np.minimum(sig[j], sig[i]))
+                    out_b.append(np.maximum(sig[j], sig[i]))
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return full.groupBy("g").applyInPandas(cross, "a long, b long").distinct()
 
 
-def join(df: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' classes, and (sig, root, component) of each class; the root names a component even where all its ids are null."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = written(_members(texts))
     size = members.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
@@ -321,13 +337,31 @@ def join(df: DataFrame) -> DataFrame:
     if not again.isEmpty():
         roots = written(components(links.union(_verified(texts, again, classes))))
     rooted = written(classes.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component"))
-    found = members.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "root", "component"))
+    return members, named
+
+
+def join(df: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
+    members, named = _solved(df)
+    found = members.select("doc_id", "n_shingles", "sig").join(named.select("sig", "component"), "sig", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_first(df: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the least doc_id (one row of it, if repeated)."""
-    found = join(df).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stays = df.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return stays.dropDuplicates(["doc_id"])
+def keep_one(df: DataFrame) -> DataFrame:
+    """One document of each component stays, that with the least doc_id (null last), and all documents without words."""
+    members, named = _solved(df)
+    rows = members.filter("sig is not null").groupBy("doc_id", "t", "sig").agg(F.count("*").alias("copies"))
+    rows = written(rows.join(named.select("sig", "root"), "sig").select("doc_id", "t", "root", "copies"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.t").alias("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    dropped = written(rows.join(first, same, "left_anti").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")))
+    few = dropped.count() <= BROADCAST_ROWS
+    keyed = df.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
+    equal = F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))
+    stays = keyed.join(F.broadcast(dropped) if few else dropped, equal, "left_anti")
+    repeated = written(rows.filter("copies > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")))
+    if not repeated.isEmpty():  # rows of equal id and text
+        again = stays.join(repeated, equal, "left_semi").dropDuplicates(["_i", "_h"])
+        stays = stays.join(repeated, equal, "left_anti").union(again)
+    return stays.drop("_i", "_h")
