@@ -174,15 +174,13 @@ def duplicate_spans(df: DataFrame) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Adds n_words, n_removed and kept_text to every document.
+    """The documents with ``text`` cut to what stays, and n_words and n_removed (of the text before).
 
-    ``kept_text`` is the text without the removed words and the space after
-    each of them.
+    A removed word goes with the space behind it. A null text stays null.
     """
-    keyed = df.drop("n_words", "n_removed", "kept_text").withColumns({"t": F.hash("text"), "_row": F.struct(*map(F.col, df.columns))})
-    keyed = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "t", "_row")
-    slim = keyed.select("doc_id", "text", "t")
-    spanned = _with_spans(keyed, duplicate_spans(slim), "left").select("text", "spans", "_row")
+    rest = [c for c in df.columns if c not in ("text", "n_words", "n_removed")]
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("t"), F.struct(*map(F.col, rest)).alias("_row"))
+    spanned = _with_spans(keyed, duplicate_spans(keyed.select("doc_id", "text", "t")), "left").select("text", "spans", "_row")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = Parsed(batch)
@@ -210,14 +208,13 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
             parts = [raw[:lead]] + [raw[x:y] for (x, y), c in zip(pairwise(cuts), change.tolist(), strict=True) if not away[c]]
             texts[i] = b"".join(parts).decode()
         arrays = [batch.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
-        return pa.RecordBatch.from_arrays(arrays, ["_row", "n_words", "n_removed", "kept_text"])
+        return pa.RecordBatch.from_arrays(arrays, ["_row", "n_words", "n_removed", "text"])
 
     row = keyed.schema["_row"].dataType.simpleString()
-    done = spanned.mapInArrow(arrow_map(run), f"_row {row}, n_words long, n_removed long, kept_text string")
-    names = [c for c in df.columns if c not in ("n_words", "n_removed", "kept_text")]
-    return done.select(*[F.col("_row")[c].alias(c) for c in names], "n_words", "n_removed", "kept_text")
+    done = spanned.mapInArrow(arrow_map(run), f"_row {row}, n_words long, n_removed long, text string")
+    return done.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in df.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
 
 def contract(df: DataFrame) -> DataFrame:
-    kept = F.array_join(F.array_remove(F.split(F.coalesce("kept_text", F.lit("")), SPACES), ""), " ")
+    kept = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACES), ""), " ")
     return remove_duplicates(df.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
