@@ -38,6 +38,8 @@ from .storage import written
 CAPACITY = 4096
 #: The fit works on this many bins of lengths.
 BINS = 128
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.9, 0.5, 0.0)
 #: Ranks within a length are counted in this many groups of rows.
 GROUPS = 256
 #: Words and recent whole texts whose ids a worker keeps.
@@ -223,13 +225,25 @@ class Plan:
 
 
 def make_plan(counts: np.ndarray, capacity: int = CAPACITY, bins: int = BINS) -> Plan:
-    """``counts[i]`` pieces have length i."""
-    plan = Plan(capacity, counts)
+    """The plan for ``counts[i]`` pieces of length i.
+
+    Where few patterns fill a sequence, as with many lengths of over half of
+    it, best fit alone may do better than a full share of patterns: the fitted
+    repeats are taken whole and scaled down, and the plan with the fewest
+    sequences counts.
+    """
     width = -(-capacity // bins)
-    bin_of = lambda length: -(-length // width)
-    histogram = np.bincount(np.arange(capacity + 1) // width + (np.arange(capacity + 1) % width > 0), weights=counts, minlength=bins + 1)[1 : bins + 1]
+    bins = capacity // width
+    histogram = np.bincount(-(-np.arange(capacity + 1) // width), weights=counts, minlength=bins + 1)[1 : bins + 1]
     table = patterns(bins)
-    repeats = np.floor(nnls(table, histogram)).astype(np.int64)
+    fitted = nnls(table, histogram)
+    plans = [_filled(counts, capacity, width, table, np.floor(fitted * share).astype(np.int64)) for share in SHARES]
+    return min(plans, key=lambda p: p.sequences)
+
+
+def _filled(counts: np.ndarray, capacity: int, width: int, table: np.ndarray, repeats: np.ndarray) -> Plan:
+    """Patterns with their repeats, then the residual pieces."""
+    plan = Plan(capacity, counts)
     rooms: dict[int, list[tuple[int, int]]] = {}  # free tokens: runs of sequences (first, how many)
     sizes: list[int] = []
 
