@@ -37,7 +37,7 @@ SEGMENT = 16_384
 TREES = 12
 LEAF = 64
 #: Part of a segment that a query's leaves hold before reranking (counted with repeats over the trees).
-SHARE = 0.9
+SHARE = 1.1
 #: Parts that the ids of one vector are reduced in first.
 SALTS = 64
 QUERY_BLOCK = 64
