@@ -34,12 +34,14 @@ def _resolved(spark, sf):
     return resolve(commands(spark, sf))
 
 
-def _log(spark, sf):
-    return mutation_log(_resolved(spark, sf))
+def _log(spark, sf, until=None):
+    """The log; commands after ``until`` change nothing before it, so they needn't enter the windows."""
+    found = commands(spark, sf)
+    return mutation_log(resolve(found if until is None else found.filter(F.col("ms") <= until)))
 
 
 def _snap(spark, sf, as_of=AS_OF):
-    return snapshot(_log(spark, sf), as_of)
+    return snapshot(_log(spark, sf, as_of), as_of)
 
 
 # -- reads ----------------------------------------------------------------------
@@ -87,7 +89,7 @@ def getmeta(spark, sf):
 
 @query
 def dbsize(spark, sf):
-    return log_state(_log(spark, sf), AS_OF).agg(F.count("*").alias("n"))
+    return log_state(_log(spark, sf, AS_OF), AS_OF).agg(F.count("*").alias("n"))
 
 
 @query
@@ -267,12 +269,12 @@ def recover_truncated(spark, sf):
 
 @query
 def compact_live(spark, sf):
-    return storage.compacted(_log(spark, sf), AS_OF)
+    return storage.compacted(_log(spark, sf, AS_OF), AS_OF)
 
 
 @query
 def compact_stats(spark, sf):
-    return storage.compaction_stats(_log(spark, sf), AS_OF)
+    return storage.compaction_stats(_log(spark, sf, AS_OF), AS_OF)
 
 
 def _values(spark, sf):

@@ -58,14 +58,15 @@ def log_state(log: DataFrame, as_of: int) -> DataFrame:
     """Each key's last put, with the expiry of its last record, whether still live or not: (key, shard, value, meta, rev, expires_at_ms)."""
     before = log.filter(F.col("ms") <= as_of)
     at = F.struct("ms", "seq")
+    put_at = F.when(F.col("kind") == "PUT", at)
     last = before.groupBy("key", "shard").agg(
-        F.max_by(F.struct("value", "meta", "rev"), F.when(F.col("kind") == "PUT", at)).alias("put"),
-        F.max(F.when(F.col("kind") == "PUT", at)).alias("put_at"),
+        *[F.max_by(c, put_at).alias(c) for c in ("value", "meta", "rev")],  # apart, so that unused ones are pruned with their windows
+        F.max(put_at).alias("put_at"),
         F.max(F.when(F.col("kind") == "DEL", at)).alias("del_at"),
         F.max_by("expires_at_ms", at).alias("expires_at_ms"),
     )
     present = last.filter(F.col("put_at").isNotNull() & (F.col("del_at").isNull() | (F.col("put_at") > F.col("del_at"))))
-    return present.select("key", "shard", "put.value", "put.meta", "put.rev", "expires_at_ms")
+    return present.select("key", "shard", "value", "meta", "rev", "expires_at_ms")
 
 
 def snapshot(log: DataFrame, as_of: int) -> DataFrame:
