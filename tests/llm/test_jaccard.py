@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from tidelog.llm import components as components_module
 from tidelog.llm import jaccard
 from tidelog.llm.components import components
 
@@ -118,7 +119,9 @@ def test_empty(spark):
     assert jaccard.join(df).count() == 0 and jaccard.keep_one(df).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW_LINKS", few)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {}

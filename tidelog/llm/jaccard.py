@@ -16,11 +16,12 @@ candidates without losing a link. Empty parts make no symbol; a set with too
 few filled parts also gives its single shingles as keys, which meet only each
 other's.
 
-Classes that share a key are compared with the least of them; components of
-the verified links are formed, and groups in which a comparison failed are
-gone through again for pairs between components. Pairs are first tested by
-the Hamming distance of bit sketches, in which a shingle flips one bit and
-which have as many bits as the sets have shingles, then exactly.
+Classes that share a key are compared with the one of them that has the most
+company; components of the verified links are formed. Groups that then still
+hold several components are gone through twice: for the nearest pairs that
+would connect them, and at last for every pair between components that is
+left. Pairs are first tested by the Hamming distance of bit sketches, in
+which a shingle flips one bit, then exactly.
 
 Cases with a defined result: a null text or one without words has an empty
 set, links with nothing and is its own component; a text of fewer than five
@@ -143,8 +144,8 @@ def keys_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def bits_of(n):
-    """Bits of the sketch of a set of size n: the power of two from n on."""
-    return 1 << np.maximum(9, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+    """Bits of the sketch of a set of size n: the power of two from 4 n on, so that few shingles share a bit."""
+    return 1 << np.maximum(9, np.ceil(np.log2(np.maximum(n, 1)) + 2)).astype(np.int64)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -189,7 +190,7 @@ def _common_keys(df: DataFrame, rows: int) -> np.ndarray:
 
 
 def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
-    """Classes that share a key: (hub, members); hub is the least of them."""
+    """Arrays of at least two classes that share a key."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         by_sig = {signature(s): s for s in shingle_sets(batch) if len(s)}
@@ -227,16 +228,15 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
         key, sig = key[new], sig[new]
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         seen: set[bytes] = set()
-        hubs, members = [], []
+        found = []
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
             if b - a > 1 and (raw := sig[a:b].tobytes()) not in seen:
                 seen.add(raw)
-                hubs.append(int(sig[a]))
-                members.append(sig[a + 1 : b])
-        return pd.DataFrame({"hub": np.array(hubs, np.int64), "members": pd.Series(members, dtype=object)})
+                found.append(sig[a:b])
+        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
 
     packed = df.mapInArrow(arrow_map(pack), "bucket int, sigs binary, at binary, high binary, low binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "hub long, members array<long>")
+    return packed.groupBy("bucket").applyInPandas(meet, "members array<long>")
 
 
 def _may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
@@ -288,20 +288,66 @@ def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _beside(pairs, sets).select("a", "b", "shingles_a", "shingles_b").mapInPandas(exact, "a long, b long").distinct()
 
 
-def _second_pairs(groups: DataFrame, failed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs between components inside groups that hold a failed comparison."""
-    hubs = failed.select(F.col("a").alias("hub")).distinct()
-    again = groups.filter(F.size("members") > 1).join(hubs, "hub", "left_semi").select(F.concat(F.array("hub"), "members").alias("all")).distinct()
-    flat = again.select(F.xxhash64("all").alias("g"), F.explode("all").alias("sig"))
-    named = written(flat.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    mixed = written(named.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("g"))
-    full = named.join(mixed, "g", "left_semi").join(classes.select("sig", "n", "sketch"), "sig")
+def _hubs(groups: DataFrame) -> DataFrame:
+    """(g, k, hub, sig): the members of groups of more than two, with the group's size and its most connected class.
+
+    The class with the most company over all groups stands nearest to the
+    others, as an original does to its edited copies.
+    """
+    flat = written(groups.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.size("members").cast("long").alias("k"), F.explode("members").alias("sig")).distinct())
+    company = written(flat.groupBy("sig").agg(F.sum("k").alias("company")))
+    hubs = flat.join(company, "sig").groupBy("g").agg(F.max(F.struct("company", "sig")).alias("hub")).select("g", F.col("hub.sig").alias("hub"))
+    return flat.join(written(hubs), "g").select("g", "k", "hub", "sig")
+
+
+def _stars(groups: DataFrame, flat: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each group's hub with the others."""
+    two = groups.filter(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    starred = flat.filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    return two.union(starred).distinct()
+
+
+def _units(flat: DataFrame) -> DataFrame:
+    """(unit, sig): the groups of a hub as one unit where that makes fewer pairs, else each group.
+
+    Every two members of a group are together in a unit.
+    """
+    sizes = flat.groupBy("hub").agg(F.count_distinct("sig").alias("u"), F.sum("k").alias("pairs"))
+    whole = F.col("u") * F.col("u") <= F.col("pairs")
+    unit = F.when(whole, F.xxhash64(F.lit("hub"), "hub")).otherwise(F.xxhash64(F.lit("group"), "g"))
+    return flat.join(written(sizes), "hub").select(unit.alias("unit"), "sig").distinct()
+
+
+def _forest(a: list[int], b: list[int], far: np.ndarray, root: np.ndarray) -> list[int]:
+    """Positions of the nearest pairs that connect all components which the pairs connect."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for k in np.argsort(far, kind="stable").tolist():
+        x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
+def _pairs_between(units: DataFrame, roots: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+    """Likely pairs between components inside units: all, or the nearest ones that connect them."""
+    named = written(units.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
+    mixed = written(named.groupBy("unit").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("unit"))
+    full = named.join(mixed, "unit", "left_semi").join(classes.select("sig", "n", "sketch"), "sig")
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("sig").sort_values("n", kind="stable")
+        pdf = pdf.sort_values("n", kind="stable")
         n, root, sig = (pdf[c].to_numpy() for c in ("n", "root", "sig"))
         sketches, bits = pdf["sketch"].tolist(), bits_of(n)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at_a, at_b, far = [], [], []
         for m in np.unique(bits).tolist():  # partners of larger size have as many bits or twice as many
             low, own, high = np.searchsorted(bits, [m, m + 1, 2 * m + 1]).tolist()
             table = np.stack([_folded(x, m) for x in sketches[low:high]])
@@ -311,12 +357,15 @@ def _second_pairs(groups: DataFrame, failed: DataFrame, roots: DataFrame, classe
                 j = j[root[j] != root[i]]
                 if len(j):
                     apart = np.bitwise_count(table[j - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
-                    j = j[7 * apart <= n[j] + n[i]]
-                    out_a.append(np.minimum(sig[j], sig[i]))
-                    out_b.append(np.maximum(sig[j], sig[i]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                    near = 7 * apart <= n[j] + n[i]
+                    at_a += [i] * int(near.sum())
+                    at_b += j[near].tolist()
+                    far.append(apart[near] / (n[j] + n[i])[near])
+        picked = range(len(at_a)) if every else _forest(at_a, at_b, np.concatenate(far) if far else np.zeros(0), root)
+        a, b = sig[[at_a[k] for k in picked]], sig[[at_b[k] for k in picked]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return full.groupBy("g").applyInPandas(cross, "a long, b long").distinct()
+    return full.groupBy("unit").applyInPandas(cross, "a long, b long").distinct()
 
 
 def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -328,14 +377,16 @@ def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(48, -(-int(size["n"] or 0) // (2 * KEYS_PER_BUCKET)))
     groups = written(_groups(texts, buckets, _common_keys(texts, size["rows"])))
-    pairs = written(groups.select(F.col("hub").alias("a"), F.explode("members").alias("b")).distinct())
-    likely = written(_likely(pairs, classes))
-    links = written(_verified(texts, likely, classes))
+    flat = written(_hubs(groups))
+    pairs = written(_likely(_stars(groups, flat), classes))
+    links = written(_verified(texts, pairs, classes))
     roots = written(components(links))
-    failed = pairs.join(links, ["a", "b"], "left_anti")
-    again = written(_second_pairs(groups, failed, roots, classes).join(likely, ["a", "b"], "left_anti"))
-    if not again.isEmpty():
-        roots = written(components(links.union(_verified(texts, again, classes))))
+    units = written(_units(flat))
+    for every in (False, True):
+        again = written(_pairs_between(units, roots, classes, every).join(pairs, ["a", "b"], "left_anti"))
+        if not again.isEmpty():
+            pairs, links = pairs.union(again), links.union(written(_verified(texts, again, classes)))
+            roots = written(components(links))
     rooted = written(classes.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "root", "component"))
     return members, named
