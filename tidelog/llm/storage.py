@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+_open: list[list[str]] = []
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -22,4 +29,34 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tidelog_path = path
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written inside at the end, but for those passed to the function it gives.
+
+    What leaves the block must be such a kept table, or read none but those.
+    """
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._tidelog_path)
+        return table
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for p in paths:
+            if p not in kept:
+                at = spark._jvm.org.apache.hadoop.fs.Path(p)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _open:
+            _open[-1].extend(kept)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._batches import arrow_map, text_bytes
 from ._words import grams, mix, words
-from .storage import written
+from .storage import scratch, written
 
 WINDOW = 35
 GRAM = 11
@@ -127,8 +127,7 @@ def _factors(df: DataFrame) -> DataFrame:
 
 
 def _with_spans(df: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
-    """Texts with the array of their spans; the smaller side is sent to the other while it is small."""
-    spans = written(spans)
+    """Texts with the array of their spans (a written table); the smaller side is sent to the other while it is small."""
     few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
     side = (F.broadcast(spans) if few else spans).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
     return df.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), kind).drop("_d", "_t")
@@ -151,7 +150,7 @@ def _boundary_windows(df: DataFrame, factors: DataFrame) -> DataFrame:
         columns = [_long(h[each]), _long(w), batch.column("doc_id").take(index), batch.column("t").take(index), pa.array(local, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["h", "w", "doc_id", "t", "first"])
 
-    return _with_spans(df, spans, "inner").mapInArrow(arrow_map(run), "h long, w long, doc_id long, t int, first int")
+    return _with_spans(df, written(spans), "inner").mapInArrow(arrow_map(run), "h long, w long, doc_id long, t int, first int")
 
 
 def duplicate_spans(df: DataFrame) -> DataFrame:
@@ -180,7 +179,9 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in ("text", "n_words", "n_removed")]
     keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("t"), F.struct(*map(F.col, rest)).alias("_row"))
-    spanned = _with_spans(keyed, duplicate_spans(keyed.select("doc_id", "text", "t")), "left").select("text", "spans", "_row")
+    with scratch(df.sparkSession) as keep:
+        found = keep(written(duplicate_spans(keyed.select("doc_id", "text", "t"))))
+    spanned = _with_spans(keyed, found, "left").select("text", "spans", "_row")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = Parsed(batch)
