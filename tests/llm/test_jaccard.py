@@ -114,6 +114,13 @@ def _component_names(rows):
     return named
 
 
+def test_nothing_in_common(spark):
+    rows = [(i, " ".join(f"t{i}_{j}" for j in range(n)), "en", "s", 0) for i, n in enumerate((1, 3, 8, 30, 200))] + [(9, None, None, None, None)]
+    got = sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == brute(rows)
+    assert jaccard.keep_one(spark.createDataFrame(rows[-1:], SCHEMA)).count() == 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.join(df).count() == 0 and jaccard.keep_one(df).count() == 0

@@ -34,6 +34,7 @@ length are those stated above.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from ._batches import arrow_map, text_bytes
 from ._words import grams, mix, words
 from .components import components
-from .storage import written
+from .storage import scratch, written
 
 SHINGLE = 5
 #: Size bands grow by this factor.
@@ -201,7 +202,7 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
         keys, owner, bucket = keys[by], owner[by], bucket[by]
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         rows: list[tuple] = []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(keys)).tolist(), strict=True):
+        for a, b in pairwise([*edge.tolist(), len(keys)]):
             used, index = np.unique(owner[a:b], return_inverse=True)
             k = keys[a:b]
             rows.append((int(bucket[a]), sigs[used].tobytes(), index.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), (k >> _U(32)).astype("<u4").tobytes(), ((k >> _U(16)) & _U(0xFFFF)).astype("<u2").tobytes()))
@@ -229,7 +230,7 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         seen: set[bytes] = set()
         found = []
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(key)).tolist(), strict=True):
+        for a, b in pairwise([*edge.tolist(), len(key)]):
             if b - a > 1 and (raw := sig[a:b].tobytes()) not in seen:
                 seen.add(raw)
                 found.append(sig[a:b])
@@ -243,8 +244,11 @@ def _may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
     """What sizes and the Hamming distance of the sketches allow."""
     if 100 * min(n_a, n_b) < 75 * max(n_a, n_b):
         return False
-    bits = 8 * min(len(sketch_a), len(sketch_b))
-    return 7 * int(np.bitwise_count(_folded(sketch_a, bits) ^ _folded(sketch_b, bits)).sum()) <= n_a + n_b
+    x, y = int.from_bytes(sketch_a, "little"), int.from_bytes(sketch_b, "little")
+    if len(sketch_a) != len(sketch_b):
+        half = 8 * min(len(sketch_a), len(sketch_b))
+        x, y = (v >> half ^ v & (1 << half) - 1 if 8 * len(s) > half else v for v, s in ((x, sketch_a), (y, sketch_b)))
+    return 7 * (x ^ y).bit_count() <= n_a + n_b
 
 
 def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -318,8 +322,8 @@ def _units(flat: DataFrame) -> DataFrame:
     return flat.join(written(sizes), "hub").select(unit.alias("unit"), "sig").distinct()
 
 
-def _forest(a: list[int], b: list[int], far: np.ndarray, root: np.ndarray) -> list[int]:
-    """Positions of the nearest pairs that connect all components which the pairs connect."""
+def _forest(pairs: list[tuple[int, int, float]], root: list[int]) -> list[tuple[int, int, float]]:
+    """The nearest pairs that connect all components which the pairs connect."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -329,48 +333,82 @@ def _forest(a: list[int], b: list[int], far: np.ndarray, root: np.ndarray) -> li
         return x
 
     kept = []
-    for k in np.argsort(far, kind="stable").tolist():
-        x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+    for p in sorted(pairs, key=lambda p: p[2]):
+        x, y = find(root[p[0]]), find(root[p[1]])
         if x != y:
             parent[x] = y
-            kept.append(k)
+            kept.append(p)
     return kept
 
 
+def _likely_between(n: list[int], root: list[int], sketches: list[bytes]) -> list[tuple[int, int, float]]:
+    """(i, j, distance) of the likely pairs of different roots; n rises."""
+    if len(n) <= 8:
+        return [(i, j, 0.0) for j in range(len(n)) for i in range(j) if root[i] != root[j] and _may_link(n[i], n[j], sketches[i], sketches[j])]
+    sizes, roots = np.array(n), np.array(root)
+    bits = bits_of(sizes)
+    found = []
+    for m in np.unique(bits).tolist():  # partners of larger size have as many bits or twice as many
+        low, own, high = np.searchsorted(bits, [m, m + 1, 2 * m + 1]).tolist()
+        table = np.stack([_folded(x, m) for x in sketches[low:high]])
+        for i in range(low, own):  # each with the larger sets that may link
+            stop = min(high, int(np.searchsorted(sizes, n[i] * 100 // 75, side="right")))
+            j = np.arange(i + 1, stop)
+            j = j[roots[j] != root[i]]
+            if len(j):
+                apart = np.bitwise_count(table[j - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
+                near = 7 * apart <= sizes[j] + n[i]
+                found += zip([i] * int(near.sum()), j[near].tolist(), (apart[near] / (sizes[j] + n[i])[near]).tolist(), strict=True)
+    return found
+
+
 def _pairs_between(units: DataFrame, roots: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
-    """Likely pairs between components inside units: all, or the nearest ones that connect them."""
+    """Likely pairs between components inside units.
+
+    Unless ``every`` is set, units with many of them give the nearest ones
+    that connect the components, and a row of nulls to say that others are left.
+    """
     named = written(units.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     mixed = written(named.groupBy("unit").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("unit"))
     full = named.join(mixed, "unit", "left_semi").join(classes.select("sig", "n", "sketch"), "sig")
 
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        n, root, sig = (pdf[c].to_numpy() for c in ("n", "root", "sig"))
-        sketches, bits = pdf["sketch"].tolist(), bits_of(n)
-        at_a, at_b, far = [], [], []
-        for m in np.unique(bits).tolist():  # partners of larger size have as many bits or twice as many
-            low, own, high = np.searchsorted(bits, [m, m + 1, 2 * m + 1]).tolist()
-            table = np.stack([_folded(x, m) for x in sketches[low:high]])
-            for i in range(low, own):  # each with the larger sets that may link
-                stop = min(high, int(np.searchsorted(n, n[i] * 100 // 75, side="right")))
-                j = np.arange(i + 1, stop)
-                j = j[root[j] != root[i]]
-                if len(j):
-                    apart = np.bitwise_count(table[j - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
-                    near = 7 * apart <= n[j] + n[i]
-                    at_a += [i] * int(near.sum())
-                    at_b += j[near].tolist()
-                    far.append(apart[near] / (n[j] + n[i])[near])
-        picked = range(len(at_a)) if every else _forest(at_a, at_b, np.concatenate(far) if far else np.zeros(0), root)
-        a, b = sig[[at_a[k] for k in picked]], sig[[at_b[k] for k in picked]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return full.groupBy("unit").applyInPandas(cross, "a long, b long").distinct()
+    def of_unit(rows: list[tuple]) -> list[tuple]:
+        sig, root, n, sketches = zip(*rows, strict=True)
+        found = _likely_between(list(n), list(root), list(sketches))
+        left = not every and len(found) > 16 + 4 * len(set(root))
+        picked = _forest(found, list(root)) if left else found
+        return [(min(sig[i], sig[j]), max(sig[i], sig[j])) for i, j, _ in picked] + [(None, None)] * left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        now, rows, pairs = None, [], []
+        for batch in batches:
+            for unit, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "sig", "root", "n", "sketch")), strict=True):
+                if unit != now:
+                    if len(rows) > 1:
+                        pairs += of_unit(rows)
+                    now, rows = unit, []
+                rows.append(tuple(row))
+            if pairs:
+                yield out(pairs)
+                pairs = []
+        if len(rows) > 1:
+            yield out(of_unit(rows))
+
+    dealt = full.select("unit", "sig", "root", "n", "sketch").repartition("unit").sortWithinPartitions("unit", "n")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' classes, and (sig, root, component) of each class; the root names a component even where all its ids are null."""
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(df.sparkSession) as keep:
+        members, named = _solve(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return keep(members), keep(named)
+
+
+def _solve(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(_members(texts))
     size = members.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     known = members.filter("sig is not null")
@@ -383,10 +421,13 @@ def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = written(components(links))
     units = written(_units(flat))
     for every in (False, True):
-        again = written(_pairs_between(units, roots, classes, every).join(pairs, ["a", "b"], "left_anti"))
+        found = written(_pairs_between(units, roots, classes, every))
+        again = written(found.filter("a is not null").join(pairs, ["a", "b"], "left_anti"))
         if not again.isEmpty():
             pairs, links = pairs.union(again), links.union(written(_verified(texts, again, classes)))
             roots = written(components(links))
+        if found.filter("a is null").isEmpty():
+            break
     rooted = written(classes.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "root", "component"))
     return members, named
