@@ -254,7 +254,8 @@ def _may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
 def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Pairs (a, b) with the columns of both classes, named with _a and _b."""
     side = lambda x: table.select(*[F.col(c).alias(x if c == "sig" else f"{c}_{x}") for c in table.columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    # a merge join at every size: what is shuffled then follows the input
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -370,7 +371,7 @@ def _pairs_between(units: DataFrame, roots: DataFrame, classes: DataFrame, every
     """
     named = written(units.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     mixed = written(named.groupBy("unit").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("unit"))
-    full = named.join(mixed, "unit", "left_semi").join(classes.select("sig", "n", "sketch"), "sig")
+    full = named.join(mixed, "unit", "left_semi").join(classes.select("sig", "n", "sketch").hint("merge"), "sig")
 
     def of_unit(rows: list[tuple]) -> list[tuple]:
         sig, root, n, sketches = zip(*rows, strict=True)

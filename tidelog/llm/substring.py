@@ -160,7 +160,8 @@ def duplicate_spans(df: DataFrame) -> DataFrame:
     not merged.
     """
     index = written(_anchors(df))
-    found = written(_factors(df).join(index, "h", "left_semi"))
+    # a merge join at every size: what is shuffled then follows the input
+    found = written(_factors(df).join(index.hint("merge"), "h", "left_semi"))
     classes = written(found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "first", "n")).alias("one")))
     whole = classes.filter("c > 1").select("h", "f")
     mixed = written(classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h"))
