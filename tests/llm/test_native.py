@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -172,3 +174,15 @@ def test_scan_of_no_rows_and_mask(spark):
     df = spark.createDataFrame([(1, "x password=b7db7aa4a5fcc78305 y", 5)], "doc_id long, text string, n int")
     assert [tuple(r) for r in secrets.mask(df).collect()] == [(1, f"x password={secrets.MASK} y", 5)]
     assert secrets.contract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("left", ["x ", "private_key=", "Bearer eyJ"])
+def test_long_secret_is_masked_whole(spark, left):
+    rng = random.Random(3)
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=3000))
+    value = "!" + key  # only the rule of values takes it
+    rows = [(1, f"{left}{key} y"), (2, f"token={value} y")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [f["secret"] for f in got[1]["findings"]] == [True] and key in got[1]["findings"][0]["candidate"]
+    assert key[-40:] not in got[1]["clean_text"] and got[1]["clean_text"].endswith(f"{secrets.MASK} y")
+    assert [len(f["candidate"]) for f in got[2]["findings"]] == [3001]

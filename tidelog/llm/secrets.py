@@ -13,7 +13,7 @@ versions, placeholders, plain words).
 Cases with a defined result: a null or empty text has no candidates; a
 candidate that occurs several times is judged at each place; repeated rows are
 judged alike; other columns are kept, except those named like an output; a
-candidate longer than 1024 characters counts in parts.
+candidate of any length is one candidate.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,1024}={0,2}"
-VALUE = r"(?<=[=:][ \x22']{0,3})[^\s\x22'<>,;|]{8,1024}"
+LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+VALUE = r"(?<=[=:][ \x22']{0,3})[^\s\x22'<>,;|]{8,}+"
 CANDIDATE = f"{LONG}|{VALUE}"
 MASK = "[SECRET]"
 #: Characters of context on the left and on the right.
