@@ -1,10 +1,11 @@
 r"""Secret scans: candidate strings, judged by a random forest.
 
-Candidates are long strings with a digit and values behind ``=`` or ``:``. A
-random forest, trained on labelled findings, removes false positives from the
-candidate's length, its character transitions, how much of it dictionary words
-cover, signs of a path, and the neighbouring words. The trees become one
-expression, so that scanning stays a single pass of built-in functions.
+Candidates are long strings with a digit or the prefix of a known kind of key,
+and values behind ``=`` or ``:``. A random forest, trained on labelled
+findings, removes false positives from the candidate's length, its character
+transitions, how much of it dictionary words cover, signs of a path, and the
+neighbouring words. The trees become one expression, so that scanning stays a
+single pass of built-in functions.
 
 The labelled findings are made by rule with a fixed seed: secrets in common
 formats, and the usual false alarms (paths, addresses, digests, identifiers,
@@ -26,7 +27,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+PREFIX = "ghp_|gho_|github_pat_|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|glpat-|npm_|SG\\."
+KNOWN_PREFIX = f"AKIA|ASIA|{PREFIX}"
+RUN = "[A-Za-z0-9+/_-]"
+LONG = rf"(?<!{RUN})(?:SG\.{RUN}{{16,}}+(?:\.{RUN}{{16,}}+)?|(?:(?=[A-Za-z+/_-]*+[0-9])|(?=(?:AKIA|ASIA)[A-Z2-7]{{16}}|{PREFIX})){RUN}{{16,}}+)={{0,2}}"
 VALUE = r"(?<=[=:][ \x22']{0,3})[^\s\x22'<>,;|]{8,}+"
 CANDIDATE = f"{LONG}|{VALUE}"
 MASK = "[SECRET]"
@@ -38,7 +42,6 @@ THRESHOLD = 0.5
 # Words that show what a string is.
 SECRET_WORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
 HARMLESS_WORDS = "example|sample|dummy|placeholder|commit|checksum|digest|sha1|sha256|md5|hash|uuid|version|revision|isbn|build|image|etag|id"
-KNOWN_PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|glpat-|npm_|SG\\."
 DICTIONARY = (
     "about|access|account|admin|after|again|amount|apple|april|article|august|auto|back|base|before|blog|body|book|build|button|cache|call|change|chapter|city|class|client|code|color|comment|common|config|connection|content|"
     "count|country|create|current|data|date|default|delete|demo|description|detail|develop|device|display|document|download|edit|element|email|engine|error|event|every|example|export|field|file|first|folder|format|"
