@@ -145,3 +145,17 @@ def test_components(spark, monkeypatch, few):
             parent[y] = x
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_near_copies_without_ids_link(spark):
+    rng = random.Random(9)
+    words = [f"n{rng.random()}" for _ in range(104)]
+    text = lambda a, b: " ".join(words[a:b])
+    rows = [(7, text(0, 84), "en", "s", 0), (None, text(9, 93), "en", "s", 0), (3, text(18, 102), "en", "s", 0)]  # only the row without an id links the others
+    rows += [(None, text(9, 93), "en", "s", 0)] * 3
+    other = [f"o{rng.random()}" for _ in range(60)]
+    rows += [(None, " ".join(other[k:]), "en", "s", 0) for k in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, jaccard.join(df).collect()), key=str) == brute(rows)
+    kept = jaccard.keep_one(df).collect()
+    assert len(kept) == 2 and sorted(str(r["doc_id"]) for r in kept) == ["3", "None"]

@@ -272,9 +272,13 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, from the shingles of both."""
     nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    picked = written(classes.join(nodes, "sig", "left_semi").select("sig", F.col("least").alias("doc_id")))
-    few = picked.count() <= BROADCAST_ROWS
-    texts = df.join(F.broadcast(picked) if few else picked, "doc_id").select("sig", "text")
+    picked = written(classes.join(nodes, "sig", "left_semi").select("sig", F.col("least").alias("doc_id"), "t"))
+    size = picked.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    sent = (lambda x: F.broadcast(x)) if size["rows"] <= BROADCAST_ROWS else (lambda x: x)
+    texts = df.join(sent(picked.select("sig", "doc_id")), "doc_id").select("sig", "text")
+    if size["named"] < size["rows"]:  # classes whose ids are all null, by the hash of a text; its copies count once
+        bare = df.filter("doc_id is null").groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
+        texts = texts.union(bare.join(sent(picked.filter("doc_id is null").select("sig", "t")), "t").select("sig", "text"))
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(int(g), s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), shingle_sets(batch), strict=True) if signature(s) == g]
@@ -413,7 +417,7 @@ def _solve(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(_members(texts))
     size = members.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     known = members.filter("sig is not null")
-    classes = written(known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = written(known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(48, -(-int(size["n"] or 0) // (2 * KEYS_PER_BUCKET)))
     groups = written(_groups(texts, buckets, _common_keys(texts, size["rows"])))
     flat = written(_hubs(groups))
