@@ -55,3 +55,17 @@ def test_same_as_brute_force(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_better_match_wins_and_other_wordings(spark):
+    notice = TEMPLATES[6][1]
+    texts = {
+        "LGPL-2.1": notice.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 2", "version 2.1"),
+        "AGPL-3.0": TEMPLATES[5][1].replace("GNU General", "GNU Affero General"),
+        "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.", "CC-BY-ND-3.0": "Licensed under CC BY-ND 3.0.", "MIT": "Distributed under the MIT License.",
+        "GPL-3.0": "This program is licensed under the GNU General Public License, version 3.", "BSD-3-Clause": "Licensed under the BSD 3-Clause License.", "GPL-2.0": notice,
+        "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    }
+    rows = [(i, t, "x") for i, t in enumerate(texts.values())]
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(rows))] == [[name] for name in texts]

@@ -36,6 +36,13 @@ _MIT = """Permission is hereby granted, free of charge, to any person obtaining
 _BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
+_TITLES = (
+    ("MIT", "MIT License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-3.0", "GNU General Public License, version 3"), ("GPL-2.0", "GNU General Public License, version 2"), ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("EPL-2.0", "Eclipse Public License, version 2.0"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("Zlib", "zlib License"), ("CC0-1.0", "CC0 1.0 Universal License"),
+)
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_THIRD} {_BSD_TAIL}"),
@@ -57,6 +64,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("LGPL-2.1", _GNU.format("library", ";", "Lesser ", ";", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", ":", "Lesser ", ",", "3")),
+    ("AGPL-3.0", _GNU.format("program", ":", "Affero ", ",", "3")),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    *((name, f"{how} under the {title}.") for name, title in _TITLES for how in ("Licensed", "Released", "Distributed")),
+    *((f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in _CC for v in ("2.0", "2.5", "3.0", "4.0")),
+    *((f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {title} {v} {scope} License.") for k, title in _CC.items() for v, scope in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))),
 )
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -117,20 +133,20 @@ def scan(df: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, thre
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = _templates(templates)
         both, edge = _bigrams(*text_bytes(batch))
-        flags = []
-        for _, _, distinct, _ in table:
-            at = np.minimum(np.searchsorted(distinct, both), len(distinct) - 1)
-            flags.append(distinct[at] == both)
-        sums = [np.append(0, np.cumsum(f)) for f in flags]
+        known = np.unique(np.concatenate([distinct for _, _, distinct, _ in table]))
+        place = np.minimum(np.searchsorted(known, both), len(known) - 1)
+        place[known[place] != both] = len(known)  # in no template
+        inside = [np.append(np.isin(known, distinct), False) for _, _, distinct, _ in table]
         # documents with as many of a template's bigrams as a match needs
         lens = np.diff(edge)
         hopeful = np.zeros(batch.num_rows, bool)
-        for s, (_, _, _, size) in zip(sums, table, strict=True):
+        for of, (_, _, _, size) in zip(inside, table, strict=True):
+            s = np.append(0, np.cumsum(of[place]))
             hopeful |= 2 * (s[edge[1:]] - s[edge[:-1]]) >= threshold * (np.minimum(lens, size) + size)
         rows = [[] for _ in range(batch.num_rows)]
         for i in np.flatnonzero(hopeful & (lens > 0)).tolist():
             a, b = int(edge[i]), int(edge[i + 1])
-            rows[i] = [{"license": table[t][0], "dice": round(v, 6), "first_word": at, "n_words": n + 1} for v, t, at, n in _matches(both[a:b], [f[a:b] for f in flags], table, threshold)]
+            rows[i] = [{"license": table[t][0], "dice": round(v, 6), "first_word": at, "n_words": n + 1} for v, t, at, n in _matches(both[a:b], [of[place[a:b]] for of in inside], table, threshold)]
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, kind)], ["doc_id", "n_matches", "matches"])
 
