@@ -34,14 +34,67 @@ def test_same_as_brute_force(spark, seed):
     assert sum(r[2] for r in got) > 0
 
 
-def test_shuffled_texts_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 2])
+def test_anchors_with_many_phrases_give_the_same(spark, monkeypatch, hot):
     from tidelog.llm import substring
 
-    monkeypatch.setattr(substring, "BROADCAST_SPANS", -1)
+    monkeypatch.setattr(substring, "HOT", hot)
     rows = documents(3)
     assert sorted(map(tuple, contract(spark.createDataFrame(rows, SCHEMA)).collect()), key=str) == brute(rows)
 
 
+def test_a_passage_in_ever_new_surroundings(spark):
+    """One anchor has a different phrase in each document; only the 36 words themselves go."""
+    passage = " ".join(f"p{i}" for i in range(36))
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(30)) + f" {passage} " + " ".join(f"z{i}x{j}" for j in range(30))) for i in range(60)]
+    got = contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["n_removed"] for r in got} == {36}
+
+
+def test_parse_of_a_block():
+    """The longest matches and the duplicate windows of the greedy parse, against plain search."""
+    import numpy as np
+
+    from tidelog.llm.substring import WINDOW, Block
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    phrases, anchors = [], []
+    for i in range(60):
+        parts = []
+        while sum(map(len, parts)) < WINDOW:
+            a, n = int(rng.integers(0, 360)), int(rng.integers(3, 59))
+            parts.append(base[a : a + n] if rng.random() < 0.8 else rng.integers(1, 1 << 60, n).astype(np.uint64))
+        phrases.append(np.concatenate(parts)[:59])
+        anchors.append(i % 3)
+    block = Block(np.array(anchors), [p.tobytes() for p in phrases])
+    words = [p.tolist() for p in phrases]
+
+    def found(i, j, n):
+        x = words[i][j : j + n]
+        return any((k, m) != (i, j) and words[k][m : m + n] == x for k in range(60) if anchors[k] == anchors[i] for m in range(len(words[k]) - n + 1))
+
+    at, twice = 0, block.duplicates()
+    for i, w in enumerate(words):
+        for j in range(len(w)):
+            n = int(block.longest[at])
+            assert (n == 0 or found(i, j, n)) and (j + n == len(w) or not found(i, j, n + 1))
+            if j + WINDOW <= len(w):
+                assert twice[at] == found(i, j, WINDOW)
+            else:
+                assert not twice[at]
+            at += 1
+    assert twice.any()
+
+
+def test_very_long_text(spark):
+    """Texts of over 2 MB, which exceed a slice, and copies inside one text."""
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, "x " + long + " y"), (None, " ".join(long.split()[:400])), (4, "a b c " * 20)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (300_000, 300_000), 2: (300_002, 300_000), None: (400, 400), 4: (60, 60)}
+
+
 def test_texts_and_other_columns(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"  head\n{passage}\ntail ", 5, "a"), (2, passage, 6, "b"), (3, None, 7, "c")]

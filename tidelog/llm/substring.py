@@ -1,28 +1,38 @@
 """Removal of word sequences that occur more than once in a corpus.
 
 The documents are parsed relative to a reference made of all their own
-phrases. A phrase is cut by content: each window of ``WINDOW`` words picks the
-``GRAM``-word sequence of least hash inside it as its anchor, and the windows
-that pick the same anchor form one factor. Equal windows pick equal anchors at
-equal offsets, so a window's copies can only lie in factors of the same
-anchor. The reference is therefore split into blocks by anchor, every block is
-indexed by its anchors, and every document is factored against every block by
-sending each factor to the one block that can hold its match.
-
-A factor that occurs twice as a whole makes all its windows duplicates. Where
-the factors of an anchor differ, a repeated passage begins or ends inside
-them: at these boundaries the single windows are compared. A word is removed
-if a duplicate window covers it.
-
-Cases with a defined result: a null text has no words; texts shorter than a
-window keep all words; repeated rows and equal texts remove each other (no
-occurrence is spared, the first neither); a window may repeat inside one
+phrases, as in relative Lempel-Ziv compression. A document is factored against
+every block of the reference that can hold a match: each window of ``WINDOW``
+words picks the ``GRAM``-word sequence of least hash inside it as its anchor,
+the windows that pick the same anchor form one phrase, and anchors decide on
+the block. Equal windows pick equal anchors, so that a phrase meets all its
+matches of at least a window in the one block it is sent to.
+
+Equal phrases are counted first: one that occurs twice as a whole makes all
+its windows duplicates, and is a single entry of its block. A block is indexed
+by a suffix array over the words of its phrases, with the longest match that
+begins at each word and occurs elsewhere in the block. Every phrase is then
+parsed greedily from left to right into such longest factors. A factor of at
+least ``WINDOW`` words is a duplicate span; windows that reach over a factor's
+end are in none and are checked at this boundary by the longest match from
+their first word. A word is removed if a duplicate window covers it.
+
+A block holds whole anchors. An anchor with more than ``HOT`` different
+phrases (a common passage in ever new surroundings) would not fit in one task:
+its windows are counted one by one in a shuffle with partial aggregation, which
+finds the same duplicates.
+
+Cases with a defined result: a null text has no words and stays null; texts
+shorter than a window keep all words; a text of any length is parsed whole;
+repeated rows and equal texts remove each other (no occurrence is spared, the
+first neither), also those with null ids; a window may repeat inside one
 document, also overlapping itself; an empty table gives an empty result; other
 columns are kept, except those named like an output.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -37,10 +47,11 @@ from .storage import scratch, written
 
 WINDOW = 35
 GRAM = 11
-#: Spans up to which those of all documents are broadcast instead of shuffling the texts.
-BROADCAST_SPANS = 1_000_000
+#: Different phrases of an anchor up to which they are parsed in one block, and words that a block has, about.
+HOT, BLOCK_WORDS = 4_096, 1_000_000
+#: More words than a phrase has: all windows around an anchor.
+LONGEST = 64
 SPACES = r"[\x20\x09-\x0D]+"
-_POSITION = np.uint64((1 << 28) - 1)
 _ROLL = 0xF1357AEA2E62A9C5
 _ROLL_INVERSE = pow(_ROLL, -1, 1 << 64)
 _rolls: dict[int, np.ndarray] = {}
@@ -80,18 +91,20 @@ class Parsed:
         if n < WINDOW:
             return none.astype(np.uint64), none, none
         gram = grams(self.hashes, GRAM)
-        if n > int(_POSITION):
-            raise ValueError("a text has more words than positions")
-        low = (gram & ~_POSITION) | np.arange(len(gram)).astype(np.uint64)
+        low = np.arange(len(gram))  # the place of the least hash, the first one of equals
+
+        def lower(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.where(gram[y] < gram[x], y, x)
+
         span = WINDOW - GRAM + 1
         width = 1
         while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
+            low = lower(low[:-width], low[width:])
             width *= 2
         if span > width:
-            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+            low = lower(low[: len(low) - (span - width)], low[span - width :])
         at = np.flatnonzero(self.rows[: n - WINDOW + 1] == self.rows[WINDOW - 1 :])
-        anchor = (low[at] & _POSITION).astype(np.int64)
+        anchor = low[at]
         new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(at) else none
         first = at[new]
         count = np.diff(np.append(new, len(at)))
@@ -123,34 +136,147 @@ def _factors(df: DataFrame) -> DataFrame:
         columns += [pa.array(first - parsed.edge[parsed.rows[first]], pa.int32()), pa.array(n, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["h", "f", "doc_id", "t", "first", "n"])
 
-    return df.mapInArrow(arrow_map(run), "h long, f long, doc_id long, t int, first int, n int")
+    return df.mapInArrow(arrow_map(run), "h long, f long, doc_id long, t long, first int, n int")
 
 
 def _with_spans(df: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
-    """Texts with the array of their spans (a written table); the smaller side is sent to the other while it is small."""
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    side = (F.broadcast(spans) if few else spans).withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    """Texts with the array of their spans; a merge join at every size, as what is shuffled then follows the input."""
+    side = spans.withColumnsRenamed({"doc_id": "_d", "t": "_t"}).hint("merge")
     return df.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), kind).drop("_d", "_t")
 
 
-def _boundary_windows(df: DataFrame, factors: DataFrame) -> DataFrame:
-    """(h, w, doc_id, t, first) for each window of the given factors (h, doc_id, t, first, n)."""
-    spans = factors.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "first", "n")).alias("spans"))
+def _phrases(df: DataFrame, factors: DataFrame) -> DataFrame:
+    """The given factors (h, k, doc_id, t, first, n) with the hashes of their words."""
+    spans = factors.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "k", "first", "n")).alias("spans"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parsed = Parsed(batch)
         spans = batch.column("spans")
-        flat = spans.flatten()
-        h, first, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        h, k, first, n = (spans.flatten().field(j) for j in range(4))
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-        each = np.repeat(np.arange(len(n)), n)
-        local = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        w = parsed.sequence(local + parsed.edge[row][each], WINDOW)
-        index = pa.array(row[each])
-        columns = [_long(h[each]), _long(w), batch.column("doc_id").take(index), batch.column("t").take(index), pa.array(local, pa.int32())]
+        begin = parsed.edge[row] + first.to_numpy(zero_copy_only=False)
+        end = begin + n.to_numpy(zero_copy_only=False) + WINDOW - 1
+        raw = pa.array([parsed.hashes[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+        index = pa.array(row)
+        columns = [h, k, batch.column("doc_id").take(index), batch.column("t").take(index), first, raw]
+        return pa.RecordBatch.from_arrays(columns, ["h", "k", "doc_id", "t", "first", "words"])
+
+    return _with_spans(df, spans, "inner").mapInArrow(arrow_map(run), "h long, k long, doc_id long, t long, first int, words binary")
+
+
+class Block:
+    """A block of the reference: phrases, each with its anchor, and the index of their words."""
+
+    def __init__(self, anchors: np.ndarray, phrases: list[bytes]):
+        sizes = np.array([len(p) // 8 for p in phrases], np.int64)
+        self.end = np.cumsum(sizes)
+        self.begin = self.end - sizes
+        self.stop = np.repeat(self.end, sizes)
+        words_ = np.frombuffer(b"".join(phrases), np.uint64)
+        self.longest = self._longest(mix(words_ ^ mix(np.repeat(anchors.view(np.uint64), sizes), 3)))
+
+    def _longest(self, words_: np.ndarray) -> np.ndarray:
+        """Length of the longest sequence from each word that occurs elsewhere in the block, under the same anchor."""
+        n = len(words_)
+        ranks = [np.unique(words_, return_inverse=True)[1] + 1]  # of sequences of 1, 2, 4, ... words, cut at the phrase's end
+        width = 1
+        while width < LONGEST:
+            after = np.zeros(n, np.int64)
+            ahead = np.flatnonzero(np.arange(n) + width < self.stop)
+            after[ahead] = ranks[-1][ahead + width]
+            ranks.append(np.unique(ranks[-1] * (n + 1) + after, return_inverse=True)[1] + 1)
+            width *= 2
+        suffixes = np.argsort(ranks.pop(), kind="stable")
+        a, b = suffixes[:-1], suffixes[1:]
+        room = np.minimum(self.stop[a] - a, self.stop[b] - b)
+        same = np.zeros(len(a), np.int64)
+        for rank in reversed(ranks):
+            width //= 2
+            open_ = np.flatnonzero(same < room)
+            equal = open_[rank[a[open_] + same[open_]] == rank[b[open_] + same[open_]]]
+            same[equal] += width
+        same = np.minimum(same, room)
+        longest = np.zeros(n, np.int64)
+        np.maximum.at(longest, a, same)
+        np.maximum.at(longest, b, same)
+        return longest
+
+    def duplicates(self) -> np.ndarray:
+        """Whether the window from each word on is a duplicate, by the greedy parse of all phrases."""
+        n = len(self.longest)
+        inside, border = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        at, end = self.begin.copy(), self.end
+        while len(at):
+            factor = np.minimum(at + np.maximum(self.longest[at], 1), end)
+            long = factor - at >= WINDOW
+            np.add.at(inside, at[long], 1)
+            np.add.at(inside, factor[long] - WINDOW + 1, -1)
+            low = np.maximum(at, factor - WINDOW + 1)
+            high = np.maximum(low, np.minimum(factor, end - WINDOW + 1))
+            np.add.at(border, low, 1)
+            np.add.at(border, high, -1)
+            more = factor <= end - WINDOW
+            at, end = factor[more], end[more]
+        return (np.cumsum(inside[:-1]) > 0) | ((np.cumsum(border[:-1]) > 0) & (self.longest >= WINDOW))
+
+
+def _parsed(phrases: DataFrame) -> DataFrame:
+    """(doc_id, t, first, n): runs of duplicate windows of the phrases, each block being parsed in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            h, doc_id, t, first, raw = zip(*rows, strict=True)
+            block = Block(np.array(h, np.int64), list(raw))
+            twice = block.duplicates()
+            before = np.append(False, twice[:-1])
+            before[block.begin] = False
+            starts = np.flatnonzero(twice & ~before)
+            after = np.append(twice[1:], False)
+            after[block.end - 1] = False
+            ends = np.flatnonzero(twice & ~after) + 1
+            of = np.searchsorted(block.end, starts, side="right")
+            columns = [pa.array([x[i] for i in of.tolist()], pa.int64()) for x in (doc_id, t)]
+            columns += [pa.array(np.array(first)[of] + starts - block.begin[of], pa.int32()), pa.array(ends - starts, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "first", "n"])
+
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "t", "first", "words")), strict=True):
+                if size > BLOCK_WORDS and row[0] != rows[-1][0]:  # an anchor is never cut
+                    yield out(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4]) // 8
+        if rows:
+            yield out(rows)
+
+    dealt = phrases.select("h", "doc_id", "t", "first", "words").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "doc_id long, t long, first int, n int")
+
+
+def _counted_windows(phrases: DataFrame) -> DataFrame:
+    """The same by counting every window of the phrases."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column("words").to_pylist()
+        each = np.array([len(p) // 8 - WINDOW + 1 for p in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint64)
+        row = np.repeat(np.arange(len(raw)), each)
+        local = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        w = grams(flat, WINDOW)[local + np.repeat(np.cumsum(each + WINDOW - 1) - each - WINDOW + 1, each)] if len(row) else np.zeros(0, np.uint64)
+        at = pa.array(row)
+        columns = [batch.column("h").take(at), _long(w), batch.column("doc_id").take(at), batch.column("t").take(at), pa.array(batch.column("first").to_numpy(zero_copy_only=False)[row] + local, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["h", "w", "doc_id", "t", "first"])
 
-    return _with_spans(df, written(spans), "inner").mapInArrow(arrow_map(run), "h long, w long, doc_id long, t int, first int")
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                yield run(batch.slice(k, 4096))
+
+    windows = written(phrases.select("h", "doc_id", "t", "first", "words").mapInArrow(slices, "h long, w long, doc_id long, t long, first int"))
+    twice = windows.groupBy("h", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "w")
+    # a window that very many phrases hold makes a large partition of rows, which the adaptive join splits
+    return windows.join(twice.hint("merge"), ["w", "h"], "left_semi").select("doc_id", "t", "first", F.lit(1).alias("n"))
 
 
 def duplicate_spans(df: DataFrame) -> DataFrame:
@@ -164,13 +290,12 @@ def duplicate_spans(df: DataFrame) -> DataFrame:
     found = written(_factors(df).join(index.hint("merge"), "h", "left_semi"))
     classes = written(found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "first", "n")).alias("one")))
     whole = classes.filter("c > 1").select("h", "f")
-    mixed = written(classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h"))
-    border = classes.join(mixed, "h", "left_semi").select("h", "one.*")
-    windows = written(_boundary_windows(df, border))
-    twice = written(windows.groupBy("h", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "w"))
-    single = windows.join(twice, ["h", "w"], "left_semi").select("doc_id", "t", "first", F.lit(1).alias("n"))
-    repeated = found.join(written(whole), ["h", "f"], "left_semi").select("doc_id", "t", "first", "n")
-    return repeated.union(single).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    mixed = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h", "k")
+    border = classes.join(mixed.hint("merge"), "h").select("h", "k", "one.*")
+    phrases = written(_phrases(df, border))
+    spans = _parsed(phrases.filter(F.col("k") <= HOT)).union(_counted_windows(phrases.filter(F.col("k") > HOT)))
+    repeated = found.join(written(whole).hint("merge"), ["h", "f"], "left_semi").select("doc_id", "t", "first", "n")
+    return repeated.union(spans).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -179,7 +304,7 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
     A removed word goes with the space behind it. A null text stays null.
     """
     rest = [c for c in df.columns if c not in ("text", "n_words", "n_removed")]
-    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("t"), F.struct(*map(F.col, rest)).alias("_row"))
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"), F.struct(*map(F.col, rest)).alias("_row"))
     with scratch(df.sparkSession) as keep:
         found = keep(written(duplicate_spans(keyed.select("doc_id", "text", "t"))))
     spanned = _with_spans(keyed, found, "left").select("text", "spans", "_row")
