@@ -61,3 +61,18 @@ def test_operator(spark):
         assert made[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, expected)).encode()).hexdigest()
         assert made[i]["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(expected).encode()).hexdigest()
     assert digests(df.limit(0), PATH).count() == 0
+
+
+def test_words_of_any_length(codec):
+    """Runs, periods and random letters far longer than any piece; texts of over 2 MB."""
+    rng = np.random.default_rng(4)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    texts = ["a" * 100_001, "ab" * 50_000, "aab" * 30_000, letters("ab", 60_000), letters("etaoinshrdlu", 80_000), letters("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/", 80_000), "the quick brown fox\n" * 120_000]
+    assert [ids(x) for x in codec.encode(texts)] == [LIBRARY.encode(t) + [2] for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aber", min_size=1, max_size=400))
+def test_few_letters(text):
+    codec = test_random_texts.codec = getattr(test_random_texts, "codec", None) or Codec(PATH)
+    assert ids(codec.encode([text], end=False)[0]) == LIBRARY.encode(text)

@@ -1,25 +1,32 @@
 """SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
-A batch of words becomes one flat array of symbols. In each round, every word
-finds the adjacent pair of best rank (a segmented minimum; the leftmost on
-ties), all words merge theirs at once, the arrays are compacted, and only the
-pairs beside a merge are looked up again. Words without a pair leave the
-arrays, and the rounds end when no pair remains. This equals the library's
-queue of best pairs, because no piece reaches over a word boundary, so that
-words don't influence each other.
+A batch of words becomes one flat array of symbols, cut between characters
+that stand side by side in no piece, since no merge can reach over such a
+place. In each round, every such part finds its best rank of adjacent pairs (a
+segmented minimum) and merges all pairs of this rank at once, from the left
+and without overlaps; the arrays are compacted, and only the pairs beside a
+merge are looked up again. Parts without a pair leave the arrays, and the
+rounds end when no pair remains.
+
+This equals the library's queue, which merges one pair of best rank at a time,
+the leftmost first, as long as a merge makes no pair of the same or a better
+rank beside it. Where one would, its part merges only the leftmost pair in
+this round.
 
 Cases with a defined result: a null text is treated as an empty one; an empty
-text has the end id only; characters without a piece become byte ids; rows are
-independent, so repeated rows and doc ids give repeated results; other columns
-are kept, and an existing column named like an output is replaced.
+text has the end id only; characters without a piece become byte ids; a text
+or a word of any length is merged in the same rounds; rows are independent, so
+repeated rows and doc ids give repeated results; other columns are kept, and
+an existing column named like an output is replaced; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +39,6 @@ from ._batches import arrow_map, list_array
 
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
-#: A word with more characters is merged with a queue: its rounds would each move one pair only.
-LONG_WORD = 512
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 
@@ -81,10 +86,11 @@ class Codec:
         by = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair_key = np.append(np.array(keys, np.int64)[by], _NONE)
         self.pair_made = np.append(np.array(made, np.int64)[by], 0)
-        self.chars = {ord(p): i for p, i in pieces.items() if len(p) == 1}
         self.char_table = np.full(0x110000, -1, np.int32)
-        for c, i in self.chars.items():
-            self.char_table[c] = i
+        for p, i in pieces.items():
+            if len(p) == 1:
+                self.char_table[ord(p)] = i
+        self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in pieces for a, b in pairwise(p)}), np.int64)  # characters side by side in a piece
         shown = []
         for p in model.pieces:
             if p.type == kinds.BYTE:
@@ -110,23 +116,48 @@ class Codec:
         at = np.searchsorted(self.pair_key, key)
         return np.where(self.pair_key[at] == key, self.pair_made[at], -1)
 
+    def _all_of_best_rank(self, sym: np.ndarray, word: np.ndarray, made: np.ndarray, best: np.ndarray, start: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The places to merge in a round: all pairs of each part's best rank, or only the leftmost where a merge would make a pair as good."""
+        n = len(sym)
+        sizes = np.diff(np.append(start, n))
+        at = np.flatnonzero(rank == np.repeat(best // n, sizes))
+        # from the left without overlaps: every second one of a run
+        fresh = np.append(True, (at[1:] != at[:-1] + 1) | (word[at[1:]] != word[at[:-1]]))
+        run = np.flatnonzero(fresh)
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        again = np.append(False, word[at[1:]] == word[at[:-1]])
+        if not again.any():
+            return at
+        many = again | np.append(again[1:], False)
+        t = at[many]
+        merged = np.full(n, -1, np.int64)
+        merged[at] = made[at]
+        left = np.where((t > 1) & (merged[t - 2] >= 0), merged[t - 2], sym[t - 1])  # what stands there when it is this pair's turn
+        with_left = np.where((t > 0) & (word[t - 1] == word[t]), self._pairs(left, made[t]), -1)
+        end = np.minimum(t + 2, n - 1)
+        with_right = np.where((t + 2 < n) & (word[end] == word[t]), self._pairs(made[t], sym[end]), -1)
+        own = self.rank[made[t]]
+        close = ((with_left >= 0) & (self.rank[with_left] <= own)) | ((with_right >= 0) & (self.rank[with_right] <= own))
+        if not close.any():
+            return at
+        risky = np.isin(word[at], word[t[close]])
+        return at[~risky | ~again]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian int32 ids of each word, merged without regard to the others."""
-        out: list[bytes] = [b""] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._queue_merge(w)
-            else:
-                short.append(i)
-        if not short:
-            return out
-        text = "".join([words[i] for i in short]).replace(" ", SPACE)
+        if not words:
+            return []
+        text = "".join(words).replace(" ", SPACE)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        lens = np.array([len(words[i]) for i in short], np.int64)
-        word = np.repeat(np.arange(len(short)), lens)
+        lens = np.array([len(w) for w in words], np.int64)
+        whole = np.repeat(np.arange(len(words)), lens)
         sym = self.char_table[points].astype(np.int64)
         sym = np.where(sym < 0, -1 - points, sym)  # a character without a piece, never merged
+        beside = points[:-1] << 21 | points[1:]
+        joined = self.beside[np.minimum(np.searchsorted(self.beside, beside), len(self.beside) - 1)] == beside
+        word = np.append(0, np.cumsum((whole[1:] != whole[:-1]) | ~joined))  # the parts
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        of_part = whole[first]
         done_word, done_sym = [], []
 
         made = np.full(len(sym), -1, np.int64)
@@ -134,29 +165,23 @@ class Codec:
         while len(sym):
             n = len(sym)
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            key = np.where(made >= 0, self.rank[made] * n + np.arange(n), _NONE)
-            best = np.minimum.reduceat(key, start)
+            rank = np.where(made >= 0, self.rank[made], -1)
+            best = np.minimum.reduceat(np.where(made >= 0, rank * n + np.arange(n), _NONE), start)
             live = best != _NONE
-            if not live.all():  # compaction: finished words leave
+            if not live.all():  # compaction: finished parts leave
                 stays = np.repeat(live, np.diff(np.append(start, n)))
                 done_word.append(word[~stays])
                 done_sym.append(sym[~stays])
-                shift = np.cumsum(~stays)
-                at = best[live] % n
-                at -= shift[at]
                 sym, word, made = sym[stays], word[stays], made[stays]
-                n = len(sym)
-                if n == 0:
-                    break
-            else:
-                at = best % n
+                continue
+            at = self._all_of_best_rank(sym, word, made, best, start, rank)
             sym[at] = made[at]
             keep = np.ones(n, bool)
             keep[at + 1] = False
             sym, word, made = sym[keep], word[keep], made[keep]
-            at = at - np.arange(len(at))  # one symbol went in each word before
+            at = at - np.arange(len(at))  # one symbol went at each merge before
             n = len(sym)
-            again = np.concatenate([at, at[at > 0] - 1])
+            again = np.unique(np.concatenate([at, at[at > 0] - 1]))
             inside = again + 1 < n
             made[again[~inside]] = -1
             again = again[inside]
@@ -164,16 +189,12 @@ class Codec:
 
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
         by = np.argsort(word, kind="stable")
-        word, sym = word[by], sym[by]
+        word, sym = of_part[word[by]], sym[by]
         if (sym < 0).any():
             word, sym = self._bytes_for_unknown(word, sym)
         ids = sym.astype("<i4").tobytes()
-        ends = (np.cumsum(np.bincount(word, minlength=len(short))) * 4).tolist()
-        begin = 0
-        for i, end in zip(short, ends, strict=True):
-            out[i] = ids[begin:end]
-            begin = end
-        return out
+        ends = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
+        return [ids[a:b] for a, b in pairwise([0, *ends])]
 
     def _bytes_for_unknown(self, word: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         point = np.where(sym < 0, -1 - sym, 0)
@@ -185,46 +206,6 @@ class Codec:
             flat[at[i] : at[i] + len(raw)] = self.byte_id[list(raw)]
         return np.repeat(word, width), flat
 
-    def _queue_merge(self, text: str) -> bytes:
-        """One very long word, with a queue of pairs by rank and position."""
-        points = [ord(c) for c in text.replace(" ", SPACE)]
-        sym = [self.chars.get(p, -1 - p) for p in points]
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        gone = [False] * n
-        known: dict[tuple[int, int], int] = {}
-
-        def pair(a: int, b: int) -> int:
-            if a < 0 or b < 0:
-                return -1
-            if (a, b) not in known:
-                known[a, b] = int(self._pairs(np.array([a]), np.array([b]))[0])
-            return known[a, b]
-
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if (m := pair(sym[i], sym[j])) >= 0:
-                heapq.heappush(queue, (int(self.rank[m]), i, sym[i], sym[j], m))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while queue:
-            _, i, a, b, m = heapq.heappop(queue)
-            if gone[i] or sym[i] != a or (j := after[i]) >= n or sym[j] != b:
-                continue
-            sym[i], gone[j], after[i] = m, True, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
-        ids: list[int] = []
-        for i in range(n):
-            if not gone[i]:
-                ids.extend([sym[i]] if sym[i] >= 0 else self.byte_id[list(chr(-1 - sym[i]).encode("utf-8", "surrogatepass"))].tolist())
-        return np.array(ids, "<i4").tobytes()
-
     def encode(self, texts: list[str | None], end: bool = True) -> list[bytes]:
         """Little-endian int32 ids of whole texts; ``end`` adds the end id."""
         split = [self.words((" " if self.dummy_prefix else "") + t.replace(SPACE, " ")) if t else [] for t in texts]
