@@ -1,8 +1,7 @@
 r"""Quality rules: base counts, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed token n-grams are estimated: one from trusted
-documents (a bounded number of rows labelled as good), one from all raw
-documents. A document's score is the mean log ratio of its n-grams; those
+documents (all rows labelled as good), one from all raw documents. A document's score is the mean log ratio of its n-grams; those
 below a fixed threshold are rejected, as are those that fail the base rules.
 Everything runs as built-in expressions on the JVM.
 
@@ -12,8 +11,11 @@ character, so that marks on words have n-grams of their own.
 
 Cases with a defined result: a null or empty text has no words and fails the
 base rules; without trusted documents all scores are 0 and only the base rules
-decide; repeated rows each count and get the same verdict; other columns are
-kept, except those named like an output.
+decide; a label without an id or a repeated label changes nothing; repeated
+rows each count and get the same verdict, rows of equal id are all trusted if
+one is; a null id is never trusted; a text of any length is counted whole; other
+columns are kept, except those named like an output; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 TOKENS = r"\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 16384
-#: At most so many trusted documents, those with the smallest hash of the id.
-MAX_TRUSTED = 20_000
 #: Least mean log ratio of a document that stays.
 THRESHOLD = -0.1
 #: Up to so many different repeated windows are looked up one by one, more by sorting.
@@ -101,9 +101,10 @@ def _buckets(text: Column) -> Column:
 
 def weights(df: DataFrame, labels: DataFrame) -> list[float]:
     """Log ratio of each bucket's probability: trusted documents against all."""
-    trusted = labels.filter("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
-    ids = df.sparkSession.createDataFrame(trusted.collect(), trusted.schema).withColumn("trusted", F.lit(1))
-    flagged = df.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    texts = df.select("doc_id", "text")
+    # rows without an id go past the join, where they would all meet in one task
+    flagged = texts.filter("doc_id is not null").join(trusted, "doc_id", "left").select("trusted", "text").union(texts.filter("doc_id is null").select(F.lit(None).cast("int"), "text"))
     rows = (
         flagged.select("trusted", F.explode(_buckets(F.col("text"))).alias("bucket"))
         .groupBy("bucket")
