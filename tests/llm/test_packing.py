@@ -107,3 +107,15 @@ def test_ids_on_request_and_empty(spark):
     df = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
     assert pieces(df, PATH, with_ids=True).first()["ids"] == [*library("hello world"), 1]
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_kept_ids_are_bounded_in_bytes(monkeypatch):
+    from tidelog.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE_BYTES", 4000)
+    words = WordTokens(PATH)
+    texts = [f"text {i} " + "word " * 300 for i in range(9)] + ["long " * 5000, None, ""]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == library(t or "")
+            assert words.recent_bytes == sum(map(len, words.recent.values())) <= 4000

@@ -13,7 +13,9 @@ finds its place from its rank among the pieces of its length.
 
 Cases with a defined result: a null or empty text is one piece with the end id
 alone; repeated rows are packed as often as they occur; an empty table gives
-an empty result; documents longer than the capacity are cut, others never.
+an empty result; documents longer than the capacity are cut, others never; a
+text of any length is tokenised whole; a null doc_id is a document like others;
+only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,8 @@ BINS = 128
 SHARES = (1.0, 0.9, 0.5, 0.0)
 #: Ranks within a length are counted in this many groups of rows.
 GROUPS = 256
-#: Words and recent whole texts whose ids a worker keeps.
-CACHE_WORDS, CACHE_TEXTS = 400_000, 3_000
+#: Words whose ids a worker keeps, and bytes of the ids of recent whole texts.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
 # -- tokens -------------------------------------------------------------------
 
@@ -79,7 +82,8 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
+        self.recent: dict[tuple[bytes, int], bytes] = {}
+        self.recent_bytes = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,10 +91,12 @@ class WordTokens:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         known, split, seen = self.known, [], set()
+        names = []
         for t in texts:
             t = t or ""
-            if t in self.recent:
-                split.append(self.recent[t])
+            names.append((blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(t)))
+            if names[-1] in self.recent:
+                split.append(self.recent[names[-1]])
                 continue
             if any(map(t.__contains__, self.special)) or not (t.isascii() or _narrow(t)):
                 words = _SPACES(t)
@@ -101,9 +107,12 @@ class WordTokens:
         new = list(seen.difference(known))
         known.update(zip(new, self._library(new), strict=True))
         out = [x if isinstance(x, bytes) else b"".join(map(known.__getitem__, x)) for x in split]
-        if len(self.recent) > CACHE_TEXTS:
-            self.recent.clear()
-        self.recent.update((t, x) for t, x in zip(texts, out, strict=True) if t)
+        for name, x in zip(names, out, strict=True):
+            if name not in self.recent and len(x) <= CACHE_BYTES:
+                if self.recent_bytes + len(x) > CACHE_BYTES:
+                    self.recent, self.recent_bytes = {}, 0
+                self.recent[name] = x
+                self.recent_bytes += len(x)
         if len(known) > CACHE_WORDS:
             for w in new:
                 del known[w]
