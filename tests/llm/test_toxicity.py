@@ -74,3 +74,48 @@ def test_label_model_learns_accuracies_and_correlations():
     assert model.share[3] < 0.5 < model.share[0]
     assert abs(model.table[0, 2, 1] - 0.9) < 0.05
     assert ((model.posterior(v) > 0.5) == y).mean() > 0.95
+
+
+def test_label_model_over_patterns_against_plain_loops(spark):
+    """The sums over a table of patterns give the model that row-by-row formulas give."""
+    rng = np.random.default_rng(1)
+    y = rng.random(900) < 0.4
+    v = np.stack([np.where(rng.random(900) < p, np.where(y, 1, -1), 0) * np.where(rng.random(900) < q, 1, -1) for p, q in ((0.9, 0.9), (0.5, 0.8), (0.7, 0.95))], axis=1).astype(np.int8)
+    label = np.where(rng.random(900) < 0.5, y.astype(int), -1)
+    many = np.minimum((v == 1).sum(axis=1), 4)
+    rows = [(r.tobytes(), int(k), int(t), 1) for r, k, t in zip(v, many, label, strict=True)]
+    table = spark.createDataFrame(rows, "votes binary, many int, toxic int, n long").groupBy("votes", "many", "toxic").count().withColumnRenamed("count", "n")
+    got = toxicity.fit_over_patterns(table, 3)
+
+    known = label >= 0
+    share = [(label[known & (many == k)].sum() + 0.1) / ((known & (many == k)).sum() + 1) for k in range(5)]
+    post = [min(0.98, max(0.02, float(t) if t >= 0 else share[k])) for t, k in zip(label.tolist(), many.tolist(), strict=True)]
+    for _ in range(toxicity.ROUNDS):
+        tab = np.full((3, 3, 2), 0.5)
+        for row, p in zip(v, post, strict=True):
+            for j in range(3):
+                tab[j, row[j] + 1] += (1 - p, p)
+        tab /= tab.sum(axis=1, keepdims=True)
+        mean = [[tab[j, 2, c] - tab[j, 0, c] for c in (0, 1)] for j in range(3)]
+        rest = np.array([[row[j] - (1 - p) * mean[j][0] - p * mean[j][1] for j in range(3)] for row, p in zip(v, post, strict=True)])
+        cov = rest.T @ rest / 900
+        corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+        corr[np.abs(corr) < 0.1] = 0
+        weight = [1 / (1 + sum(abs(corr[i, j]) for i in range(3) if i != j)) for j in range(3)]
+        prior = float(np.clip(np.mean(post), 0.005, 0.9))
+        new = []
+        for row in v:
+            odds = np.log(prior / (1 - prior)) + sum(weight[j] * np.log(tab[j, row[j] + 1, 1] / tab[j, row[j] + 1, 0]) for j in range(3))
+            new.append(1 / (1 + np.exp(-odds)))
+        change, post = max(abs(a - b) for a, b in zip(new, post, strict=True)), new
+        if change < toxicity.SETTLED:
+            break
+    assert np.allclose(got.table, tab) and np.allclose(got.share, weight) and abs(got.prior - prior) < 1e-9
+    assert np.allclose(got.posterior(v), post)
+
+
+def test_a_text_of_megabytes_and_clashing_columns(spark):
+    docs, labels = corpus(3, 200)
+    rows = [(i, t, 1, "x") for i, t, _, _ in docs] + [(500, docs[1][1] + " on" * 1_200_000, 2, "y")]
+    got = toxicity.contract(spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string"), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == 201 and all(0 <= r["score"] <= 1 for r in got)

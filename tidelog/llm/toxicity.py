@@ -1,28 +1,34 @@
 """Toxicity scores by weak supervision.
 
 Lexicons are mined from labelled training rows: words and word beginnings that
-are far more frequent in toxic documents, those first that tell most about the label. Many voters, each a part of the
-lexicon or a pattern of the text, vote toxic, clean or nothing. A generative
-label model estimates by expectation maximisation how each voter votes for
-either class, and from the voters' correlations within the classes how much
-of each vote is news. A logistic regression is trained on the model's
-posterior labels and scores every whole text.
-
-Only rows whose crc32(doc_id as text) modulo 5 is not 0 are learned from, and
-the sample is bounded: ``MAX_LABELLED`` rows for each label and
-``MAX_UNLABELLED`` others, those with the smallest hash of the id. Scores use
-nothing but the text.
+are far more frequent in toxic documents, those first that tell most about the
+label. Many voters, each a part of the lexicon or a pattern of the text, vote
+toxic, clean or nothing on every training document. A generative label model
+estimates by expectation maximisation how each voter votes for either class,
+and from the voters' correlations within the classes how much of each vote is
+news; its sums run over the table of all different vote patterns with their
+numbers of documents. A logistic regression is trained on the model's posterior
+labels and scores every whole text. Each text is read for its signs once.
+
+Only rows whose crc32(doc_id as text) modulo 5 is not 0 are learned from. The
+lexicon and the regression are fitted on a bounded sample: ``MAX_LABELLED`` rows
+for each label, those with the smallest hash of the id, weighted to the labels'
+shares. The label model takes all training rows. Scores use nothing but the text.
 
 Cases with a defined result: a null text is scored as an empty one; an empty
-text gets the score of a text without any sign; without labelled rows of both
-kinds, or without documents to learn from, every score is 0; contradictory or
-repeated labels of an id count as toxic if any is; repeated rows get equal
-scores; a null doc_id is scored and never held out.
+text gets the score of a text without any sign; a text of any length is read
+whole; without labelled rows of both kinds, or without documents to learn from,
+every score is 0; contradictory or repeated labels of an id count as toxic if
+any is; repeated rows get equal scores; a null doc_id is scored, never held out
+and never labelled; only doc_id and text, and of the labels doc_id and toxic,
+are read, whatever other columns are called; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import arrow_map
-from .storage import written
+from ._batches import arrow_map, list_array
+from .storage import scratch, written
 
 MAX_LABELLED = 4_000
-MAX_UNLABELLED = 8_000
+#: Most rounds of expectation maximisation, and the change of a posterior that ends them.
+ROUNDS, SETTLED = 12, 1e-3
 #: Units of the lexicon; units in fewer toxic documents, or with smaller log odds, are left out.
 UNITS, LEAST_DOCS, LEAST_ODDS = 256, 4, 3.5
 #: Units that one lexicon voter looks for.
@@ -120,35 +127,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit_label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation; ``start`` holds first guesses of the labels."""
-    n, m = v.shape
-    post = np.clip(start, 0.02, 0.98)
-    model = None
-    for _ in range(rounds):
-        prior = float(np.clip(post.mean(), 0.005, 0.9))
-        table = np.empty((m, 3, 2))
-        for k in range(3):
-            is_k = (v == k - 1).astype(float)
-            table[:, k, 1] = is_k.T @ post
-            table[:, k, 0] = is_k.T @ (1 - post)
-        table += 0.5
-        table /= table.sum(axis=1, keepdims=True)
-        # correlation of the voters once the class is known
-        value = np.array([-1.0, 0.0, 1.0])
-        mean = np.einsum("mkc,k->mc", table, value)
-        rest = v - (post[:, None] * mean[:, 1] + (1 - post)[:, None] * mean[:, 0])
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        corr = (rest.T @ rest) / n / np.outer(spread, spread)
-        np.fill_diagonal(corr, 0)
-        corr[np.abs(corr) < 0.1] = 0
-        share = 1 / (1 + np.abs(corr).sum(axis=0))
-        model = LabelModel(prior, table, share)
-        new = model.posterior(v)
-        if np.abs(new - post).max() < 1e-4:
-            break
-        post = new
-    return model
+def sums(v: np.ndarray, post: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What a round of estimation needs of n rows each of votes ``v`` with posterior ``post``; adds up over tables."""
+    m = v.shape[1]
+    value, total, likely = v.astype(np.float64), n.astype(np.float64), n * post
+    kinds = [np.stack([(v == k - 1).T.astype(np.float64) @ w for k in range(3)], axis=1) for w in (total - likely, likely)]  # voter, vote
+    parts = [[total.sum(), likely.sum(), (likely * post).sum()], kinds[0].ravel(), kinds[1].ravel(), value.T @ total, value.T @ likely, ((value * total[:, None]).T @ value).ravel()]
+    return np.concatenate(parts) if m else np.array(parts[0])
+
+
+def estimated(s: np.ndarray, m: int) -> LabelModel:
+    """The label model of the sums."""
+    n, p, pp = s[:3]
+    clean, toxic = s[3 : 3 + 3 * m].reshape(m, 3), s[3 + 3 * m : 3 + 6 * m].reshape(m, 3)
+    sv, spv = s[3 + 6 * m : 3 + 7 * m], s[3 + 7 * m : 3 + 8 * m]
+    svv = s[3 + 8 * m :].reshape(m, m)
+    table = np.stack([clean, toxic], axis=2) + 0.5
+    table /= table.sum(axis=1, keepdims=True)
+    # correlation of the voters once the class is known: of what is left of the votes without the classes' means
+    mean = np.einsum("mkc,k->mc", table, np.array([-1.0, 0.0, 1.0]))
+    low, step = mean[:, 0], mean[:, 1] - mean[:, 0]
+    left = svv - np.outer(sv, low) - np.outer(low, sv) - np.outer(spv, step) - np.outer(step, spv)
+    left += n * np.outer(low, low) + p * (np.outer(low, step) + np.outer(step, low)) + pp * np.outer(step, step)
+    spread = np.sqrt(np.maximum(np.diag(left), 0) / n) + 1e-9
+    corr = left / n / np.outer(spread, spread)
+    np.fill_diagonal(corr, 0)
+    corr[np.abs(corr) < 0.1] = 0
+    return LabelModel(float(np.clip(p / n, 0.005, 0.9)), table, 1 / (1 + np.abs(corr).sum(axis=0)))
 
 
 def _scaled(table: np.ndarray) -> np.ndarray:
@@ -158,17 +163,18 @@ def _scaled(table: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(table[:, :m]), np.minimum(p[:, 1:2], 8) / 4, np.minimum(p[:, 2:3] * 50, 2), (p[:, 1:2] == 0).astype(np.float32), p[:, 3:6]], axis=1).astype(np.float64)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, steps: int = 400) -> np.ndarray:
-    """Logistic regression on soft labels, by accelerated gradient descent; the last weight is the bias."""
+def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 400) -> np.ndarray:
+    """Logistic regression on soft labels of weighted rows, by accelerated gradient descent; the last weight is the bias."""
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    share = weight / weight.sum()
     w, old = np.zeros(a.shape[1]), np.zeros(a.shape[1])
-    rate = 1 / (0.25 * np.linalg.norm(a, 2) ** 2 / len(a) + l2)
+    rate = 1 / (0.25 * np.linalg.norm(a * np.sqrt(share)[:, None], 2) ** 2 + l2)
     for k in range(steps):
         y = w + k / (k + 3) * (w - old)
         p = 1 / (1 + np.exp(-np.clip(a @ y, -30, 30)))
         penalty = l2 * y
         penalty[-1] = 0
-        old, w = w, y - rate * (a.T @ (p - target) / len(a) + penalty)
+        old, w = w, y - rate * (a.T @ (share * (p - target)) + penalty)
     return w
 
 
@@ -188,15 +194,17 @@ def _remainder(doc_id):
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(FOLDS))
 
 
-def _sample(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the bounded sample; toxic is null for the rows without a label."""
-    known = labels.filter((_remainder(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = lambda t, n: t.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = first(known.filter("toxic = 1"), MAX_LABELLED).union(first(known.filter("toxic = 0"), MAX_LABELLED))
-    others = first(df.select("doc_id").filter(_remainder(F.col("doc_id")) != 0).distinct(), MAX_UNLABELLED).withColumn("toxic", F.lit(None).cast("int"))
-    # of bounded size by the limits
-    ids = written(picked.union(others).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    return written(df.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")))
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled training rows."""
+    return labels.filter((_remainder(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _sampled(known: DataFrame) -> DataFrame:
+    """The bounded sample of labelled ids, with the weight that gives the labels their shares."""
+    first = lambda k: known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = F.when(F.col("toxic") == 1, max(1.0, total.get(1, 0) / MAX_LABELLED)).otherwise(max(1.0, total.get(0, 0) / MAX_LABELLED))
+    return written(first(1).union(first(0)).withColumn("weight", weight))
 
 
 def _lexicon(sample: DataFrame) -> list[str]:
@@ -210,7 +218,7 @@ def _lexicon(sample: DataFrame) -> list[str]:
         clean, toxic = zip(*counts.values(), strict=True) if counts else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], ["unit", "toxic", "clean"])
 
-    rows = sample.filter("toxic is not null")
+    rows = sample
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return []
@@ -223,42 +231,130 @@ def _lexicon(sample: DataFrame) -> list[str]:
     return [r["unit"] for r in best.select("unit").collect()]
 
 
-def train(df: DataFrame, labels: DataFrame) -> Model:
-    sample = _sample(df, labels)
-    units = _lexicon(sample)
-    if not units:
-        return Model([], np.zeros(0))
+def _signs(df: DataFrame, units: list[str]) -> DataFrame:
+    """(doc_id, units, counts, figures): the signs of every text; most have few."""
+    cache: list[Units] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = signs(batch.column("text").to_pylist(), Units(units))
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(table), pa.list_(pa.float32()))], ["toxic", "signs"])
-
-    rows = sample.mapInArrow(arrow_map(run), "toxic int, signs array<float>").orderBy("signs", "toxic").collect()  # bounded, as the sample is
-    table = np.array([r["signs"] for r in rows], np.float32)
-    label = np.array([-1 if r["toxic"] is None else r["toxic"] for r in rows])
-    v = votes(table)
-    known = label >= 0
+        if not cache:
+            cache.append(Units(units))
+        table = signs(batch.column("text").to_pylist(), cache[0])
+        row, unit = np.nonzero(table[:, : len(units)])
+        counts = np.bincount(row, minlength=len(table))
+        lists = [list_array(pa.array(unit.astype(np.int16)), counts), list_array(pa.array(table[row, unit]), counts)]
+        figures = list_array(pa.array(table[:, len(units) :].ravel()), np.full(len(table), PATTERNS))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, figures], ["doc_id", "units", "counts", "figures"])
+
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(arrow_map(run), "doc_id long, units array<short>, counts array<float>, figures array<float>")
+
+
+def _table(batch: pa.RecordBatch, m: int) -> np.ndarray:
+    """The signs of a batch as a table again."""
+    table = np.zeros((batch.num_rows, m + PATTERNS), np.float32)
+    row = np.repeat(np.arange(batch.num_rows), batch.column("units").value_lengths().to_numpy(zero_copy_only=False))
+    table[row, batch.column("units").flatten().to_numpy(zero_copy_only=False)] = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+    table[:, m:] = batch.column("figures").flatten().to_numpy(zero_copy_only=False).reshape(-1, PATTERNS)
+    return table
+
+
+def _patterns(signs_: DataFrame, known: DataFrame, m: int) -> DataFrame:
+    """(votes, many, toxic, n): the different votes of the training documents, with the number of signs (4 at most) and the label (-1 without one)."""
+    few = signs_.filter(F.col("doc_id").isNotNull() & (_remainder(F.col("doc_id")) != 0))
+    labelled = few.join(known, "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = _table(batch, m)
+            rows = np.ascontiguousarray(votes(table))
+            raw = pa.array([r.tobytes() for r in rows], pa.binary())
+            many = pa.array(np.minimum(table[:, m + 1], 4).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([raw, many, batch.column("toxic")], ["votes", "many", "toxic"])
+
+    return labelled.select("units", "counts", "figures", "toxic").mapInArrow(run, "votes binary, many int, toxic int").groupBy("votes", "many", "toxic").agg(F.count("*").alias("n"))
+
+
+def fit_label_model(v: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation maximisation over votes at hand; ``start`` holds first guesses of the labels."""
+    one, post = np.ones(len(v)), np.clip(start, 0.02, 0.98)
+    for _ in range(rounds):
+        model = estimated(sums(v, post, one), v.shape[1])
+        old, post = post, model.posterior(v)
+        if np.abs(post - old).max() < SETTLED:
+            break
+    return model
+
+
+def fit_over_patterns(patterns: DataFrame, m: int) -> LabelModel:
+    """The same over a written table of vote patterns."""
     # first guesses: the labels, and for other rows the share among labelled rows with as many signs
-    many = np.minimum(table[:, len(units) + 1], 4).astype(int)
-    share = np.array([(label[known & (many == k)].sum() + 0.1) / ((known & (many == k)).sum() + 1) for k in range(5)])
-    model = fit_label_model(v, np.where(known, label, share[many]))
-    return Model(units, fit_linear(_scaled(table), model.posterior(v)))
+    seen = {(r["many"], r["toxic"]): r["n"] for r in patterns.filter("toxic >= 0").groupBy("many", "toxic").agg(F.sum("n").alias("n")).collect()}  # ten rows at most
+    share = np.array([(seen.get((k, 1), 0) + 0.1) / (seen.get((k, 0), 0) + seen.get((k, 1), 0) + 1) for k in range(5)])
+
+    def posterior(model: LabelModel | None, v: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        if model is not None:
+            return model.posterior(v)
+        label = batch.column("toxic").to_numpy(zero_copy_only=False)
+        return np.clip(np.where(label >= 0, label, share[batch.column("many").to_numpy(zero_copy_only=False)]), 0.02, 0.98)
+
+    def round_of(old: LabelModel | None, now: LabelModel | None) -> tuple[np.ndarray, float]:
+        """Sums under a model, and how far a posterior is from the one under the model before."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, most = None, 0.0
+            for batch in batches:
+                v = np.frombuffer(b"".join(batch.column("votes").to_pylist()), np.int8).reshape(batch.num_rows, m)
+                post = posterior(now, v, batch)
+                part = sums(v, post, batch.column("n").to_numpy(zero_copy_only=False))
+                total = part if total is None else total + part
+                if now is not None:
+                    most = max(most, float(np.abs(post - posterior(old, v, batch)).max()))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.append(most, total))], ["i", "x"])
+
+        added = patterns.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"), F.max("x").alias("most")).collect()  # one row for each sum
+        by = {r["i"]: r for r in added}
+        return np.array([by[i]["x"] for i in range(len(by) - 1)]), by[-1]["most"]
+
+    old = now = None
+    for _ in range(ROUNDS):
+        total, change = round_of(old, now)
+        if now is not None and change < SETTLED:
+            break
+        old, now = now, estimated(total, m)
+    return now
 
 
-def score(df: DataFrame, model: Model) -> DataFrame:
+def train(df: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The classifier, and the signs of all documents."""
+    known = _known(labels)
+    sample = _sampled(known)
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    units = _lexicon(written(texts.join(F.broadcast(sample), "doc_id")))  # two times MAX_LABELLED rows at most
+    found = written(_signs(df, units))
+    if not units:
+        return Model([], np.zeros(0)), found
+    m = votes(np.zeros((1, len(units) + PATTERNS), np.float32)).shape[1]
+    model = fit_over_patterns(written(_patterns(found, known, len(units))), m)
+    rows = found.join(F.broadcast(sample), "doc_id").select("units", "counts", "figures", "weight").orderBy("units", "counts", "figures").toArrow()  # bounded, as the sample is
+    batch = rows.combine_chunks().to_batches()[0]
+    table = _table(batch, len(units))
+    return Model(units, fit_linear(_scaled(table), model.posterior(votes(table)), batch.column("weight").to_numpy(zero_copy_only=False))), found
+
+
+def score(signs_: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document."""
-    cache: list[Units] = []
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not cache:
-            cache.append(Units(model.units))
-        values = model.score(signs(batch.column("text").to_pylist(), cache[0]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_table(batch, len(model.units))), pa.float64())], ["doc_id", "score"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(arrow_map(run), "doc_id long, score double")
+    return signs_.mapInArrow(run, "doc_id long, score double")
 
 
 def contract(df: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(df, train(df, labels))
+    with scratch(df.sparkSession) as keep:
+        model, found = train(df, labels)
+        keep(found)
+    scored = score(found, model)
     held = F.coalesce(_remainder(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
