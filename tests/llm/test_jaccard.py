@@ -159,3 +159,23 @@ def test_near_copies_without_ids_link(spark):
     assert sorted(map(tuple, jaccard.join(df).collect()), key=str) == brute(rows)
     kept = jaccard.keep_one(df).collect()
     assert len(kept) == 2 and sorted(str(r["doc_id"]) for r in kept) == ["3", "None"]
+
+
+def test_hot_symbols_large_units_and_equal_names(spark, monkeypatch):
+    """A third of the rows are different near copies of one text, others share a long passage only; first hashes have 5 bits; one text has megabytes."""
+    monkeypatch.setattr(jaccard, "HOT", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(50):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    for i in range(50, 100):
+        rows.append((i, " ".join(base[:75] + [f"y{i % 9}_{j}" for j in range(60)] + [f"z{i}"] * (i % 4)), "en", "s", 0))
+    rows += [(i, f"only {i} of its own kind here", "en", "s", 0) for i in range(100, 110)] + [(110, None, None, None, None), (111, "", "", "", 0)]
+    rows.append((112, "many words in one text " * 100_000, "en", "s", 0))
+    got = sorted(map(tuple, jaccard.join(spark.createDataFrame(rows, SCHEMA), bits=5).collect()), key=str)
+    assert got == brute(rows)

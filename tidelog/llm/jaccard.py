@@ -16,18 +16,21 @@ candidates without losing a link. Empty parts make no symbol; a set with too
 few filled parts also gives its single shingles as keys, which meet only each
 other's.
 
-Classes that share a key are compared with the one of them that has the most
+A key that is very common in the sample is hot: its classes are shuffled in
+parts, never as one group. Classes that share a key are compared with the one of them that has the most
 company; components of the verified links are formed. Groups that then still
 hold several components are gone through twice: for the nearest pairs that
 would connect them, and at last for every pair between components that is
-left. Pairs are first tested by the Hamming distance of bit sketches, in
+left; large ones are dealt to tasks as blocks. Pairs are first tested by the Hamming distance of bit sketches, in
 which a shingle flips one bit, then exactly.
 
 Cases with a defined result: a null text or one without words has an empty
 set, links with nothing and is its own component; a text of fewer than five
 words has one shingle; repeated rows and equal sets link; a null doc_id is
 kept and never the name of a component with other ids; other columns are
-ignored; an empty table gives an empty result. The similarity and the shingle
+ignored; a text of any length is read whole; an empty table gives an empty
+result. Sets are named by 64 bits of hash, and by 64 others where two different
+sets share these. The similarity and the shingle
 length are those stated above.
 """
 
@@ -52,6 +55,8 @@ SHINGLE = 5
 BAND = 3
 #: Documents in the sample that shows which symbols are common, how often one occurs in it to be so, and the most that are told apart.
 SAMPLE, COMMON, MOST_COMMON = 16_384, 2, 1 << 20
+#: How often a symbol occurs in the sample for its classes to be spread over tasks, and classes that a task compares with as many others.
+HOT, BLOCK = 64, 256
 #: Keys a task gets in the join, about.
 KEYS_PER_BUCKET = 1_000_000
 #: Rows of candidates up to which they are broadcast instead of shuffling the texts.
@@ -77,13 +82,20 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return found
 
 
-def signature(s: np.ndarray) -> int:
-    """A hash of the whole set."""
-    if not len(s):
-        return 0
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of the whole set; together they stand for it."""
     with np.errstate(over="ignore"):
-        both = mix(np.array([mix(s, 3).sum() ^ (np.bitwise_xor.reduce(mix(s, 5)) * _U(3)) ^ _U(len(s))], _U))
-    return int(both.view(np.int64)[0])
+        x, y = mix(s, 3), mix(s, 5)
+        raw = np.array([x.sum() ^ (np.bitwise_xor.reduce(y) * _U(3)), y.sum() ^ (np.bitwise_xor.reduce(x) * _U(5))], _U) ^ _U(len(s))
+    one, two = mix(raw, 9).view(np.int64).tolist()
+    return one, two
+
+
+def signature(s: np.ndarray, clashes: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The name of a set: its first hash (of so many bits), or the second where different sets have that first one."""
+    one, two = fingerprints(s)
+    one >>= 64 - bits
+    return two if one in clashes else one
 
 
 def _scheme(a: int) -> list[tuple[int, int, int]]:
@@ -123,7 +135,7 @@ def keys_of(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.
     with np.errstate(over="ignore"):
         key = mix(symbol + part_of * _U(0x9FB21C651E98DF25) + table[job_of, 1].astype(_U) * _U(0xD6E8FEB86659FD93), 11)
     # rank of each symbol among its set's: rare ones first, then by part
-    often = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key if len(common) else np.zeros(len(key), bool)
+    often = _among(key, common)
     first = np.flatnonzero(np.append(True, job_of[1:] != job_of[:-1]))
     filled = np.diff(np.append(first, len(key)))
     rare_n = np.add.reduceat((~often).astype(np.int64), first)
@@ -163,41 +175,50 @@ def _folded(sketch: bytes, bits: int) -> np.ndarray:
     return words
 
 
-def _members(df: DataFrame) -> DataFrame:
-    """(doc_id, t, n_shingles, sig, sketch) of every document, t being a hash of the text; sig and sketch are null without shingles."""
+def _members(df: DataFrame, clashes: frozenset[int], bits: int) -> DataFrame:
+    """(doc_id, t, n_shingles, sig, second, sketch) of every document, t being a hash of the text; the last three are null without shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch)
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+        sigs = pa.array([signature(s, clashes, bits) if len(s) else None for s in sets], pa.int64())
+        seconds = pa.array([fingerprints(s)[1] if len(s) else None for s in sets], pa.int64())
         sketches = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), sizes, sigs, sketches], ["doc_id", "t", "n_shingles", "sig", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), sizes, sigs, seconds, sketches], ["doc_id", "t", "n_shingles", "sig", "second", "sketch"])
 
     keyed = df.withColumn("t", F.xxhash64("text"))
-    return keyed.mapInArrow(arrow_map(run), "doc_id long, t long, n_shingles long, sig long, sketch binary")
+    return keyed.mapInArrow(arrow_map(run), "doc_id long, t long, n_shingles long, sig long, second long, sketch binary")
 
 
-def _common_keys(df: DataFrame, rows: int) -> np.ndarray:
-    """Symbols that occur often in a sample of documents; they only set the order of keys."""
+def _common_keys(df: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols that occur often in a sample of documents, and those of them that occur very often; they set the order of keys and how these are shuffled."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, _ = keys_of(shingle_sets(batch), np.zeros(0, _U))
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
     every = max(1, rows // SAMPLE)
-    sample = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = df.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
     often = sample.mapInArrow(arrow_map(run), "key long").groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
-    return np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(_U))
+    found = often.collect()
+    as_keys = lambda keys: np.sort(np.array(keys, np.int64).view(_U))
+    return as_keys([r["key"] for r in found]), as_keys([r["key"] for r in found if r["count"] >= HOT])
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
 
 
-def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
-    """Arrays of at least two classes that share a key."""
+def _groups(df: DataFrame, buckets: int, common: np.ndarray, hot: np.ndarray, clashes: frozenset[int], bits: int) -> DataFrame:
+    """(key, members): arrays of at least two classes that share a key, with a null key; for a hot key, parts of its classes with the key."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by_sig = {signature(s): s for s in shingle_sets(batch) if len(s)}
+        by_sig = {signature(s, clashes, bits): s for s in shingle_sets(batch) if len(s)}
         sigs = np.array(list(by_sig), np.int64)
         keys, owner = keys_of(list(by_sig.values()), common)
         bucket = (mix(keys, 17) % _U(buckets)).astype(np.int64)
+        spread = np.flatnonzero(_among(keys, hot))  # a hot key's classes are dealt over as many buckets again
+        bucket[spread] = buckets + (mix(sigs[owner[spread]].view(_U), 19) % _U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         keys, owner, bucket = keys[by], owner[by], bucket[by]
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
@@ -217,27 +238,33 @@ def _groups(df: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
             keys.append(h << _U(16) | np.frombuffer(low, "<u2").astype(_U))
             sigs.append(np.frombuffer(s, np.int64)[np.frombuffer(at, "<u2" if len(at) == 2 * len(h) else "<u4")])
         key, sig = np.concatenate(keys), np.concatenate(sigs)
-        by = np.argsort(key, kind="stable")
-        key = key[by]
-        twice = np.zeros(len(key), bool)
-        twice[1:] = key[1:] == key[:-1]
-        twice[:-1] |= twice[1:]
-        key, sig = key[twice], sig[by][twice]
+        parted = int(pdf["bucket"].iloc[0]) >= buckets
+        if not parted:
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            twice = np.zeros(len(key), bool)
+            twice[1:] = key[1:] == key[:-1]
+            twice[:-1] |= twice[1:]
+            key, sig = key[twice], sig[by][twice]
         by = np.lexsort((sig, key))
         key, sig = key[by], sig[by]
         new = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])) if len(key) else np.zeros(0, bool)
         key, sig = key[new], sig[new]
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         seen: set[bytes] = set()
-        found = []
+        found, names = [], []
         for a, b in pairwise([*edge.tolist(), len(key)]):
-            if b - a > 1 and (raw := sig[a:b].tobytes()) not in seen:
+            if parted:
+                found.append(sig[a:b])
+                names.append(int(key[a]))
+            elif b - a > 1 and (raw := sig[a:b].tobytes()) not in seen:
                 seen.add(raw)
                 found.append(sig[a:b])
-        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
+                names.append(None)
+        return pd.DataFrame({"key": pd.Series(names, dtype="Int64"), "members": pd.Series(found, dtype=object)})
 
     packed = df.mapInArrow(arrow_map(pack), "bucket int, sigs binary, at binary, high binary, low binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "members array<long>")
+    return packed.groupBy("bucket").applyInPandas(meet, "key long, members array<long>")
 
 
 def _may_link(n_a: int, n_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
@@ -269,7 +296,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _beside(pairs, classes.select("sig", "n", "sketch")).mapInPandas(run, "a long, b long")
 
 
-def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, clashes: frozenset[int], bits: int) -> DataFrame:
     """The pairs (a, b) that link, from the shingles of both."""
     nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
     picked = written(classes.join(nodes, "sig", "left_semi").select("sig", F.col("least").alias("doc_id"), "t"))
@@ -281,7 +308,7 @@ def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         texts = texts.union(bare.join(sent(picked.filter("doc_id is null").select("sig", "t")), "t").select("sig", "text"))
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(int(g), s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), shingle_sets(batch), strict=True) if signature(s) == g]
+        rows = [(int(g), s.tobytes()) for g, s in zip(batch.column("sig").to_pylist(), shingle_sets(batch), strict=True) if len(s) and signature(s, clashes, bits) == g]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "shingles"])
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,7 +330,10 @@ def _hubs(groups: DataFrame) -> DataFrame:
     The class with the most company over all groups stands nearest to the
     others, as an original does to its edited copies.
     """
-    flat = written(groups.filter(F.size("members") > 2).select(F.xxhash64("members").alias("g"), F.size("members").cast("long").alias("k"), F.explode("members").alias("sig")).distinct())
+    whole = groups.filter(F.col("key").isNull() & (F.size("members") > 2)).select(F.xxhash64("members").alias("g"), F.size("members").cast("long").alias("k"), F.explode("members").alias("sig"))
+    parts = written(groups.filter("key is not null").select(F.xxhash64(F.lit("key"), "key").alias("g"), F.explode("members").alias("sig")).distinct())
+    sizes = parts.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
+    flat = written(whole.distinct().union(parts.join(sizes, "g").select("g", "k", "sig")))
     company = written(flat.groupBy("sig").agg(F.sum("k").alias("company")))
     hubs = flat.join(company, "sig").groupBy("g").agg(F.max(F.struct("company", "sig")).alias("hub")).select("g", F.col("hub.sig").alias("hub"))
     return flat.join(written(hubs), "g").select("g", "k", "hub", "sig")
@@ -311,7 +341,7 @@ def _hubs(groups: DataFrame) -> DataFrame:
 
 def _stars(groups: DataFrame, flat: DataFrame) -> DataFrame:
     """Pairs (a, b) of each group's hub with the others."""
-    two = groups.filter(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    two = groups.filter(F.col("key").isNull() & (F.size("members") == 2)).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
     starred = flat.filter("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
     return two.union(starred).distinct()
 
@@ -367,15 +397,37 @@ def _likely_between(n: list[int], root: list[int], sketches: list[bytes]) -> lis
     return found
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """(unit, r, c, sig, root): the members of units of several components, dealt to tasks.
+
+    A small unit is one block. In a large one, the classes outside of its
+    largest component, which are few where copies crowd, form rows of blocks
+    and all classes form columns; every row meets every column.
+    """
+    sizes = named.groupBy("unit", "root").agg(F.count("*").alias("n"))
+    units = sizes.groupBy("unit").agg(F.sum("n").alias("u"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("most < u")
+    rows_of, columns_of = F.ceil((F.col("u") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("u") / BLOCK).cast("int")
+    large = F.col("u") > 2 * BLOCK
+    shaped = units.select("unit", "main", F.when(large, rows_of).otherwise(1).alias("rows"), F.when(large, columns_of).otherwise(1).alias("columns"))
+    full = written(named.join(written(shaped), "unit"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mark = lambda k, n: F.pmod(F.xxhash64("sig", F.lit(k)), F.col(n)).cast("int")
+    columns = full.select("unit", F.explode(each("rows")).alias("r"), mark(1, "columns").alias("c"), "sig", "root")
+    rows = full.filter("columns > 1 and root <> main").select("unit", mark(2, "rows").alias("r"), F.explode(each("columns")).alias("c"), "sig", "root")
+    return columns.union(rows).distinct()
+
+
 def _pairs_between(units: DataFrame, roots: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
     """Likely pairs between components inside units.
 
-    Unless ``every`` is set, units with many of them give the nearest ones
-    that connect the components, and a row of nulls to say that others are left.
+    Unless ``every`` is set, blocks of units with many of them give the nearest
+    ones that connect the components, and a row of nulls to say that others are
+    left.
     """
     named = written(units.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    mixed = written(named.groupBy("unit").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("unit"))
-    full = named.join(mixed, "unit", "left_semi").join(classes.select("sig", "n", "sketch").hint("merge"), "sig")
+    full = _blocks(named).join(classes.select("sig", "n", "sketch").hint("merge"), "sig")
+
+    place = ("unit", "r", "c")
 
     def of_unit(rows: list[tuple]) -> list[tuple]:
         sig, root, n, sketches = zip(*rows, strict=True)
@@ -390,46 +442,55 @@ def _pairs_between(units: DataFrame, roots: DataFrame, classes: DataFrame, every
 
         now, rows, pairs = None, [], []
         for batch in batches:
-            for unit, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "sig", "root", "n", "sketch")), strict=True):
-                if unit != now:
+            for *block, sig, root, n, sketch in zip(*(batch.column(c).to_pylist() for c in (*place, "sig", "root", "n", "sketch")), strict=True):
+                if block != now:
                     if len(rows) > 1:
                         pairs += of_unit(rows)
-                    now, rows = unit, []
-                rows.append(tuple(row))
+                    now, rows = block, []
+                row = (sig, root, n, sketch)
+                rows.append(row)
             if pairs:
                 yield out(pairs)
                 pairs = []
         if len(rows) > 1:
             yield out(of_unit(rows))
 
-    dealt = full.select("unit", "sig", "root", "n", "sketch").repartition("unit").sortWithinPartitions("unit", "n")
+    dealt = full.select(*place, "sig", "root", "n", "sketch").repartition(*place).sortWithinPartitions(*place, "n")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _solved(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _solved(df: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The documents' classes, and (sig, root, component) of each class; the root names a component even where all its ids are null."""
     with scratch(df.sparkSession) as keep:
-        members, named = _solve(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        members, named = _solve(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bits)
         return keep(members), keep(named)
 
 
-def _solve(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    members = written(_members(texts))
+def _solve(texts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    clashes: frozenset[int] = frozenset()
+    while True:
+        members = written(_members(texts, clashes, bits))
+        known = members.filter("sig is not null")
+        first = lambda c: F.first(c).alias(c)
+        agg = known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("n_shingles").alias("n"), first("sketch"), F.min("second").alias("x"), F.max("second").alias("y"))
+        classes = written(agg)
+        found = {r["sig"] for r in classes.filter("x <> y").select("sig").collect()}  # different sets of equal first hash: about one in 10^20 pairs
+        if not found:
+            break
+        clashes |= found
     size = members.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
-    known = members.filter("sig is not null")
-    classes = written(known.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     buckets = max(48, -(-int(size["n"] or 0) // (2 * KEYS_PER_BUCKET)))
-    groups = written(_groups(texts, buckets, _common_keys(texts, size["rows"])))
+    groups = written(_groups(texts, buckets, *_common_keys(texts, size["rows"]), clashes, bits))
     flat = written(_hubs(groups))
     pairs = written(_likely(_stars(groups, flat), classes))
-    links = written(_verified(texts, pairs, classes))
+    links = written(_verified(texts, pairs, classes, clashes, bits))
     roots = written(components(links))
     units = written(_units(flat))
     for every in (False, True):
         found = written(_pairs_between(units, roots, classes, every))
         again = written(found.filter("a is not null").join(pairs, ["a", "b"], "left_anti"))
         if not again.isEmpty():
-            pairs, links = pairs.union(again), links.union(written(_verified(texts, again, classes)))
+            pairs, links = pairs.union(again), links.union(written(_verified(texts, again, classes, clashes, bits)))
             roots = written(components(links))
         if found.filter("a is null").isEmpty():
             break
@@ -438,9 +499,13 @@ def _solve(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, named
 
 
-def join(df: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
-    members, named = _solved(df)
+def join(df: DataFrame, bits: int = 64) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links.
+
+    ``bits`` is the size of a set's first hash; sets that share it get others, so
+    that it never changes the result.
+    """
+    members, named = _solved(df, bits)
     found = members.select("doc_id", "n_shingles", "sig").join(named.select("sig", "component"), "sig", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
