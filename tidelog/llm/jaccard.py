@@ -91,13 +91,17 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return one, two
 
 
-def signature(s: np.ndarray, clashes: frozenset[int] = frozenset(), bits: int = 64) -> int:
-    """The name of a set: its first hash (of so many bits), or the second where different sets have that first one."""
-    one, two = fingerprints(s)
+def named(one: int, two: int, clashes: frozenset[int], bits: int) -> int:
+    """The first hash (of so many bits), or the second where different sets have that first one."""
     one >>= 64 - bits
     return two if one in clashes else one
 
 
+def signature(s: np.ndarray, clashes: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """The name of a set."""
+    return named(*fingerprints(s), clashes, bits)
+
+
 def _scheme(a: int) -> list[tuple[int, int, int]]:
     """(scheme, parts, most differences) for a set of size a: its band, and the borders to the neighbouring ones."""
     found = []
@@ -181,8 +185,9 @@ def _members(df: DataFrame, clashes: frozenset[int], bits: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch)
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        sigs = pa.array([signature(s, clashes, bits) if len(s) else None for s in sets], pa.int64())
-        seconds = pa.array([fingerprints(s)[1] if len(s) else None for s in sets], pa.int64())
+        both = [fingerprints(s) if len(s) else (None, None) for s in sets]
+        sigs = pa.array([named(*x, clashes, bits) if len(s) else None for s, x in zip(sets, both, strict=True)], pa.int64())
+        seconds = pa.array([x[1] for x in both], pa.int64())
         sketches = pa.array([parity(s) if len(s) else None for s in sets], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), sizes, sigs, seconds, sketches], ["doc_id", "t", "n_shingles", "sig", "second", "sketch"])
 
