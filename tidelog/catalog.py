@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from tidelog import oracles
 from tidelog.functions import scalars
 from tidelog.functions.time import HOUR
+from tidelog.operators import commands as kv
 from tidelog.operators import flags, limits, metrics, reads, storage, watch, writes
 from tidelog.plans.state import log_state, mutation_log, resolve, snapshot
-from tidelog.sources.tables import AS_OF, commands, counters, pages, requests, table, timed_events
+from tidelog.sources.tables import AS_OF, commands, counters, mixed_commands, pages, requests, table, timed_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,14 +38,19 @@ def _resolved(spark, sf):
 
 def _log(spark, sf, until=None):
     """The log; commands after ``until`` change nothing before it, so they needn't enter the windows."""
-    found = commands(spark, sf)
-    return mutation_log(resolve(found if until is None else found.filter(F.col("ms") <= until)))
+    return mutation_log(resolve(commands(spark, sf, until)))
 
 
 def _snap(spark, sf, as_of=AS_OF):
     return snapshot(_log(spark, sf, as_of), as_of)
 
 
+def _snap_of(asked, spark, sf, as_of=AS_OF):
+    """The snapshot of the asked keys alone, without right revisions: these count the whole shard's commands."""
+    found = commands(spark, sf, as_of).join(asked.select("key").distinct(), "key", "left_semi")
+    return snapshot(mutation_log(resolve(found)), as_of).drop("rev")
+
+
 # -- reads ----------------------------------------------------------------------
 
 
@@ -59,22 +66,26 @@ def get_with_headers(spark, sf):
 
 @query
 def mget(spark, sf):
-    return reads.mget(requests(spark), _snap(spark, sf))
+    asked = requests(spark)
+    return reads.mget(asked, _snap_of(asked, spark, sf))
 
 
 @query
 def exists_count(spark, sf):
-    return reads.exists_count(requests(spark), _snap(spark, sf))
+    asked = requests(spark)
+    return reads.exists_count(asked, _snap_of(asked, spark, sf))
 
 
 @query
 def ttl(spark, sf):
-    return reads.looked_up(requests(spark), _snap(spark, sf)).select("pos", "key", reads.ttl_s(AS_OF).alias("ttl"))
+    asked = requests(spark)
+    return reads.looked_up(asked, _snap_of(asked, spark, sf)).select("pos", "key", reads.ttl_s(AS_OF).alias("ttl"))
 
 
 @query
 def pttl(spark, sf):
-    return reads.looked_up(requests(spark), _snap(spark, sf)).select("pos", "key", reads.ttl_ms(AS_OF).alias("pttl"))
+    asked = requests(spark)
+    return reads.looked_up(asked, _snap_of(asked, spark, sf)).select("pos", "key", reads.ttl_ms(AS_OF).alias("pttl"))
 
 
 @query
@@ -84,7 +95,8 @@ def revision(spark, sf):
 
 @query
 def getmeta(spark, sf):
-    return reads.looked_up(requests(spark), _snap(spark, sf)).select("pos", "key", "meta")
+    asked = requests(spark)
+    return reads.looked_up(asked, _snap_of(asked, spark, sf)).select("pos", "key", "meta")
 
 
 @query
@@ -147,12 +159,14 @@ def set_apply(spark, sf):
 
 @query
 def setnx(spark, sf):
-    return writes.set_if_absent(_attempts(spark), _snap(spark, sf))
+    asked = _attempts(spark)
+    return writes.set_if_absent(asked, _snap_of(asked, spark, sf))
 
 
 @query
 def setxx(spark, sf):
-    return writes.set_if_present(_attempts(spark), _snap(spark, sf))
+    asked = _attempts(spark)
+    return writes.set_if_present(asked, _snap_of(asked, spark, sf))
 
 
 @query
@@ -167,12 +181,14 @@ def getdel(spark, sf):
 
 @query
 def getex(spark, sf):
-    return writes.read_and_expire(requests(spark), _snap(spark, sf), AS_OF + HOUR)
+    asked = requests(spark)
+    return writes.read_and_expire(asked, _snap_of(asked, spark, sf), AS_OF + HOUR)
 
 
 @query
 def del_count(spark, sf):
-    return writes.delete_count(requests(spark), _snap(spark, sf))
+    asked = requests(spark)
+    return writes.delete_count(asked, _snap_of(asked, spark, sf))
 
 
 @query
@@ -205,7 +221,7 @@ def expire_apply(spark, sf):
 @query
 def expireat_apply(spark, sf):
     asked = requests(spark).withColumn("at_ms", (F.lit(AS_OF) + (F.col("pos") % 5 - 2) * HOUR).cast("long"))
-    return writes.expire_at(asked, _snap(spark, sf), AS_OF)
+    return writes.expire_at(asked, _snap_of(asked, spark, sf), AS_OF)
 
 
 @query
@@ -239,8 +255,7 @@ def _batch(e):
 
 @query
 def batch_mixed(spark, sf):
-    """The first 500 events, as its SQL has it; ``batch_all`` takes every event."""
-    return _batch(timed_events(spark, sf).filter(F.col("event_id") < 500))
+    return _batch(timed_events(spark, sf))
 
 
 @query
@@ -248,6 +263,43 @@ def batch_all(spark, sf):
     return _batch(timed_events(spark, sf))
 
 
+def _applied(spark, sf):
+    return kv.applied(mixed_commands(spark, sf))
+
+
+@query
+def kv_apply(spark, sf):
+    return _applied(spark, sf).select("ns", "key", "seq", "op", "result", "kind", "new_value", "new_meta", "expires_at_ms", "new_rev")
+
+
+@query
+def set_options(spark, sf):
+    rows = _applied(spark, sf).filter("op = 'SET'")
+    return rows.groupBy("cond", "keep_ttl", "get_old", F.regexp_replace("result", "[0-9.]+", "#").alias("outcome")).agg(F.count("*").alias("n"), F.count("expires_at_ms").alias("with_expiry"), F.count("new_meta").alias("with_meta"))
+
+
+@query
+def incr_stored(spark, sf):
+    return _applied(spark, sf).filter("op = 'INCR'").select("ns", "key", "seq", "result", "expires_at_ms")
+
+
+@query
+def cas_chain(spark, sf):
+    return _applied(spark, sf).filter("cond = 'REV' or op = 'DELREV'").select("ns", "key", "seq", "op", "expected_rev", "result")
+
+
+@query
+def ns_state(spark, sf):
+    return kv.final_state(_applied(spark, sf), AS_OF)
+
+
+@query
+def batch_abort(spark, sf):
+    e = timed_events(spark, sf)
+    op = F.array(*map(F.lit, ("setnx", "set", "get", "delete", "setnx")))[(F.col("user_id") % 5).cast("int")]
+    return kv.batches(e.select(F.expr("event_id div 8").alias("batch"), (F.col("event_id") % 8).alias("pos"), F.concat(F.lit("b:"), F.col("user_id") % 3).alias("key"), op.alias("op")))
+
+
 # -- log and storage ----------------------------------------------------------------
 
 
@@ -330,11 +382,29 @@ def sse_events(spark, sf):
     return watch.event_json(watch.replay(_log(spark, sf), SINCE, "user:2"))
 
 
-def _scratch(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    import uuid
+@query
+def watch_keys_since(spark, sf):
+    return watch.replay_keys(_log(spark, sf), requests(spark), SINCE)
+
 
-    return f"{root}/{uuid.uuid4().hex}"
+@query
+def watch_from_snapshot(spark, sf):
+    return watch.from_snapshot(_snap(spark, sf), _log(spark, sf), SINCE, "user:1")
+
+
+@query
+def sse_fields(spark, sf):
+    return watch.event_fields(watch.replay(_log(spark, sf), SINCE, "user:2"), AS_OF)
+
+
+def _scratch(spark):
+    """A new folder in the one that driver and executors share; a temporary one only where all of them are one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        root = f"file://{tempfile.mkdtemp()}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query
@@ -355,9 +425,10 @@ DEFS = [
     ("flags:def:new-checkout", '{"on": true, "rules": [{"when": {"segment": ["BUILDING"]}, "value": "true"}], "rollout": {"percent": 30}}'),
     ("flags:def:ai-search", '{"on": true, "rules": [{"when": {"segment": ["MACHINERY", "FURNITURE"]}, "value": "v2"}], "rollout": {"percent": 10, "value": "v1"}}'),
     ("flags:def:killed", '{"on": false, "rules": [{"when": {}, "value": "true"}], "rollout": {"percent": 100}}'),
+    ("flags:def:single", '{"on": true, "rules": [{"when": {"segment": "HOUSEHOLD"}, "value": "12"}, {"when": {"id": "7"}, "value": "seven"}, {"when": {"id": ["8", "9"], "nation": "3"}, "value": "{}"}, {"when": {"id": ["10", "11", "12"]}, "value": "13.5"}]}'),
     ("flags:def:broken", '{"rules": []}'),
 ]
-ASKED = [("new-checkout", "false"), ("ai-search", "v0"), ("killed", "false"), ("unknown", "false")]
+ASKED = [("new-checkout", "false"), ("ai-search", "v0"), ("killed", "false"), ("unknown", "false"), ("single", "s0")]
 
 
 def _entries(spark):
@@ -398,8 +469,8 @@ def flag_eval(spark, sf):
 @query
 def flag_rules(spark, sf):
     defs = flags.definitions(_entries(spark))
-    rows = _contexts(spark, sf).crossJoin(F.broadcast(defs))
-    return rows.select("id", "flag", flags.first_rule(F.col("rules"), F.col("attributes")).alias("hit")).filter("hit is not null").select("id", "flag", F.col("hit.index").cast("int").alias("rule"), "hit.value")
+    rows = _contexts(spark, sf).crossJoin(defs)
+    return rows.select("id", "flag", flags.first_rule(F.col("rules"), F.col("attributes"), F.col("id")).alias("hit")).filter("hit is not null").select("id", "flag", F.col("hit.index").cast("int").alias("rule"), "hit.value")
 
 
 @query
@@ -425,6 +496,14 @@ def flag_openfeature(spark, sf):
     return flags.open_details(_evaluated(spark, sf), _flags(spark))
 
 
+@query
+def flag_open_types(spark, sf):
+    kinds = spark.createDataFrame([("new-checkout", "false", "boolean"), ("ai-search", "v0", "string"), ("killed", "{}", "object"), ("unknown", "1", "number"), ("single", "0", "number")], "flag string, default string, kind string")
+    contexts = _contexts(spark, sf).withColumn("id", F.when(F.col("id") == "5", "").otherwise(F.col("id")))
+    rows = flags.evaluate(contexts, kinds.select("flag", "default"), flags.definitions(_entries(spark)), _prefs(spark, sf), allow_empty=True)
+    return flags.typed_details(rows, kinds)
+
+
 @query
 def flag_reason_counts(spark, sf):
     return _evaluated(spark, sf).groupBy("flag", "reason").agg(F.count("*").alias("n"))
@@ -460,6 +539,22 @@ def rl_token(spark, sf):
     return limits.token_bucket(_calls(spark, sf), RL_CAPACITY, RL_RATE).select("key", "seq", "allowed")
 
 
+@query
+def rl_sliding_full(spark, sf):
+    return limits.sliding_window(_calls(spark, sf), RL_LIMIT, RL_WINDOW)
+
+
+@query
+def rl_token_full(spark, sf):
+    return limits.token_bucket(_calls(spark, sf), RL_CAPACITY, RL_RATE)
+
+
+@query
+def rl_blockuntil(spark, sf):
+    calls = _calls(spark, sf)
+    return limits.block_until(limits.fixed_window(calls, RL_LIMIT, RL_WINDOW), calls, HOUR)
+
+
 @query
 def rl_blockfor(spark, sf):
     calls = _calls(spark, sf)
@@ -505,6 +600,14 @@ def lock_grants(spark, sf):
     return limits.locks(calls, LEASE)
 
 
+@query
+def lock_release(spark, sf):
+    e = timed_events(spark, sf)
+    op = F.when(F.col("event_type") == "error", "release").otherwise("acquire")
+    calls = e.select(F.concat(F.lit("lock:"), F.col("user_id") % 10).alias("key"), "ms", "seq", op.alias("op"), (F.col("user_id") % 20).cast("string").alias("token"))
+    return limits.lock_steps(calls, LEASE)
+
+
 @query
 def cache_sim(spark, sf):
     calls = timed_events(spark, sf).select((F.col("user_id") % 4).cast("int").alias("shard"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"), "ms", "seq")
@@ -527,6 +630,15 @@ def parse_integers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", scalars.parse_long(text).alias("n"))
 
 
+@query
+def ttl_specs(spark, sf):
+    n, kind = F.col("o_orderkey"), F.array(*map(F.lit, ("EX", "PX", "EXAT", "PXAT")))[(F.col("o_orderkey") % 4).cast("int")]
+    amount = F.when(n % 7 == 0, F.lit(0)).when(kind == "EXAT", F.lit(AS_OF // 1000) + n - 5000).when(kind == "PXAT", F.lit(AS_OF) + n - 5000).otherwise(n)
+    url = F.concat(F.lit("a=1&limit="), n, F.lit("&limit=2&flag"))
+    big = F.concat(F.lit("1844674407370955"), (n % 9000 + 1000).cast("string"))
+    return table(spark, sf, "orders").select("o_orderkey", kind.alias("kind"), scalars.ttl_of(kind, amount, AS_OF).alias("ttl"), scalars.query_param(url, "limit").alias("size"), scalars.query_param(url, "flag").alias("none"), scalars.parse_unsigned(big).cast("string").alias("big"))
+
+
 @query
 def key_codecs(spark, sf):
     key = F.col("key")

@@ -63,3 +63,22 @@ def client_ip(edge: Column, real: Column, forwarded: Column, socket: Column) ->
     """
     first = F.trim(F.split_part(F.nullif(forwarded, F.lit("")), F.lit(","), F.lit(1)))
     return F.coalesce(edge, real, first, socket, F.lit("unknown"))
+
+
+def parse_unsigned(text: Column) -> Column:
+    """A decimal integer below 2^64 without a sign, as decimal(20,0), or null."""
+    n = F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("decimal(38,0)"))
+    return F.when(n <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), n).cast("decimal(20,0)")
+
+
+def ttl_of(kind: Column, n: Column, now_ms: int) -> Column:
+    """Milliseconds to live of EX, PX (0 is an error: null), EXAT and PXAT (0 if past)."""
+    relative = F.when(n > 0, F.when(kind == "EX", n * 1000).otherwise(n))
+    until = F.when(kind == "EXAT", (n - F.lit(now_ms // 1000)) * 1000).otherwise(n - now_ms)
+    return F.when(kind.isin("EX", "PX"), relative).when(kind.isin("EXAT", "PXAT"), F.greatest(F.lit(0), until)).cast("long")
+
+
+def query_param(query: Column, name: str) -> Column:
+    """The first value of a parameter of a query string, not decoded; null if there is none with an equals sign."""
+    pairs = F.filter(F.split(query, "&"), lambda p: p.startswith(f"{name}="))
+    return F.substring(F.get(pairs, F.lit(0)), len(name) + 2, 1 << 20)

@@ -10,7 +10,7 @@ from tidelog.functions.scalars import bucket
 
 DEFINITION = T.StructType([
     T.StructField("on", T.BooleanType()),
-    T.StructField("rules", T.ArrayType(T.StructType([T.StructField("when", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("value", T.StringType())]))),
+    T.StructField("rules", T.ArrayType(T.StructType([T.StructField("when", T.MapType(T.StringType(), T.StringType())), T.StructField("value", T.StringType())]))),
     T.StructField("rollout", T.StructType([T.StructField("percent", T.DoubleType()), T.StructField("value", T.StringType())])),
 ])
 
@@ -29,30 +29,37 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.filter(~F.col("old").eqNullSafe(F.col("new"))).select("key", kind.alias("change"))
 
 
-def first_rule(rules, attributes):
-    """(index, value) of the first rule whose conditions all hold; a condition lists the values it takes, a missing attribute fails, no conditions hold."""
+def first_rule(rules, attributes, unit_id):
+    """(index, value) of the first rule whose conditions all hold.
+
+    A condition names one value or lists some, of an attribute or of ``id``; a
+    missing attribute fails, no conditions hold.
+    """
+    values = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))
+    actual = lambda k: F.when(k == "id", unit_id).otherwise(attributes[k])
     hits = F.filter(
-        F.transform(rules, lambda r, i: F.struct(i.alias("index"), r["value"].alias("value"), F.forall(F.map_entries(r["when"]), lambda c: F.coalesce(F.array_contains(c["value"], attributes[c["key"]]), F.lit(False))).alias("hit"))),
+        F.transform(rules, lambda r, i: F.struct(i.alias("index"), r["value"].alias("value"), F.forall(F.map_entries(r["when"]), lambda c: F.coalesce(F.array_contains(values(c["value"]), actual(c["key"])), F.lit(False))).alias("hit"))),
         lambda r: r["hit"],
     )
     return F.get(hits, F.lit(0))
 
 
-def evaluate(contexts: DataFrame, flags: DataFrame, defs: DataFrame, prefs: DataFrame) -> DataFrame:
+def evaluate(contexts: DataFrame, flags: DataFrame, defs: DataFrame, prefs: DataFrame, allow_empty: bool = False) -> DataFrame:
     """One row per context (id, attributes, override map) and flag (flag, default): value, reason, rule.
 
     Order: off, user preference, override, no definition, first rule, rollout,
-    default. A missing id is an error and gives the default. The tables of
-    flags and definitions are configuration, hence small.
+    default. A missing id is an error and gives the default; ``allow_empty`` lets
+    the empty one pass, as the common flag interface does. The tables of flags and
+    definitions are configuration; whether they are broadcast is left to their size.
     """
-    asked = F.broadcast(flags.join(defs, "flag", "left"))
+    asked = flags.join(defs, "flag", "left")
     rows = contexts.crossJoin(asked).join(prefs, ["id", "flag"], "left")
-    rows = rows.withColumn("rule_hit", first_rule(F.col("rules"), F.col("attributes")))
+    rows = rows.withColumn("rule_hit", first_rule(F.col("rules"), F.col("attributes"), F.col("id")))
     override = F.col("overrides")[F.col("flag")]
     percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("rollout.percent")))
-    rolled = (percent > 0) & (bucket(F.col("id"), F.col("flag")) < percent)
+    rolled = F.when(percent > 0, bucket(F.col("id"), F.col("flag")) < percent)  # hashed only where there is a rollout
     cases = [
-        (F.col("id").isNull() | (F.col("id") == ""), "error", F.col("default")),
+        (F.col("id").isNull() | ((F.col("id") == "") & F.lit(not allow_empty)), "error", F.col("default")),
         (F.col("on") == F.lit(False), "off", F.col("default")),
         (F.col("pref").isNotNull(), "user-pref", F.col("pref")),
         (override.isNotNull(), "override", override),
@@ -76,7 +83,17 @@ def open_details(evaluated: DataFrame, flags: DataFrame) -> DataFrame:
     """Boolean resolution: a value of another type is an error and gives the default."""
     names = F.create_map(*[F.lit(x) for pair in OPEN_REASONS.items() for x in pair])
     good = F.col("value").isin("true", "false")
-    return evaluated.join(F.broadcast(flags), "flag").select("id", "flag", F.when(good, F.col("value")).otherwise(F.col("default")).alias("value"), F.when(good, names[F.col("reason")]).otherwise("ERROR").alias("reason"))
+    return evaluated.join(flags, "flag").select("id", "flag", F.when(good, F.col("value")).otherwise(F.col("default")).alias("value"), F.when(good, names[F.col("reason")]).otherwise("ERROR").alias("reason"))
+
+
+def typed_details(evaluated: DataFrame, flags: DataFrame) -> DataFrame:
+    """Resolution by the flag's type (flag, default, kind): boolean, string, number or object; a value of another type is an error and gives the default."""
+    names = F.create_map(*[F.lit(x) for pair in OPEN_REASONS.items() for x in pair])
+    value, kind = F.col("value"), F.col("kind")
+    number = value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z")
+    structured = value.rlike(r"\A\s*[\[{]") & F.try_parse_json(value).isNotNull()
+    good = F.when(kind == "boolean", value.isin("true", "false")).when(kind == "number", number).when(kind == "object", structured).otherwise(value.isNotNull())
+    return evaluated.join(flags.select("flag", "default", "kind"), "flag").select("id", "flag", F.when(good, value).otherwise(F.col("default")).alias("value"), F.when(good, names[F.col("reason")]).otherwise("ERROR").alias("reason"))
 
 
 def folded_prefs(changes: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.plans.fold import ordered_fold
 
 
+DECISION = "allowed boolean, remaining long, reset_ms long, retry_after_ms long"
+DECIDED = [x.split()[0] for x in DECISION.split(", ")]
+
+
 def check_window(limit: int, window_ms: int) -> None:
     if limit < 1 or window_ms <= 0:
         raise ValueError("limit must be at least 1 and the window positive")
@@ -46,18 +52,28 @@ def sliding_window(requests: DataFrame, limit: int, window_ms: int) -> DataFrame
             cur, prev = state[1], state[2]
         else:
             cur, prev = 0, state[1] if state[0] == b - 1 else 0
-        estimate = prev * (1.0 - (ms % window_ms) / window_ms) + cur + 1
-        ok = estimate <= limit
-        return (b, cur + ok, prev), (bool(ok), int(max(0, limit - estimate // 1)) if ok else 0)
+        estimate = prev * (1.0 - (ms % window_ms) / window_ms) + (cur + 1)
+        reset = (b + 1) * window_ms
+        if estimate <= limit:
+            return (b, cur + 1, prev), (True, int(max(0, limit - estimate // 1)), reset, None)
+        wait = ceil((estimate - limit) / prev * window_ms) if prev else reset - ms + window_ms
+        return (b, cur, prev), (False, 0, reset, wait)
 
-    return ordered_fold(requests, "key", ["ms", "seq"], ["ms"], step, "allowed boolean, remaining long").select("key", "seq", "allowed", "remaining")
+    return ordered_fold(requests, "key", ["ms", "seq"], ["ms"], step, DECISION).select("key", "seq", *DECIDED)
 
 
 def token_bucket(requests: DataFrame, capacity: int, rate: float) -> DataFrame:
     """Tokens refill by ``rate`` a second up to the capacity; a denied request leaves the state alone."""
     check_bucket(capacity, rate)
     step = token_step(capacity, rate)
-    return ordered_fold(requests, "key", ["ms", "seq"], ["ms"], step, "allowed boolean, remaining long").select("key", "seq", "allowed", "remaining")
+    renew = ceil(1000 / rate)
+
+    def full(state, ms):
+        state, (allowed, remaining) = step(state, ms)
+        wait = None if allowed else ceil((1 - min(float(capacity), state[0] + (ms - state[1]) / 1000.0 * rate)) / rate * 1000)
+        return state, (allowed, remaining, ms + (renew if allowed else wait), wait)
+
+    return ordered_fold(requests, "key", ["ms", "seq"], ["ms"], full, DECISION).select("key", "seq", *DECIDED)
 
 
 def token_step(capacity: int, rate: float):
@@ -106,6 +122,26 @@ def locks(requests: DataFrame, lease_ms: int) -> DataFrame:
     return ordered_fold(requests, "key", ["ms", "seq"], ["ms"], step, "granted boolean").select("key", "seq", "granted")
 
 
+def lock_steps(calls: DataFrame, lease_ms: int) -> DataFrame:
+    """Calls (key, ms, seq, op, token) of a lock: ``acquire`` is granted if no lease runs, ``release`` frees the lock only for the token that holds it."""
+
+    def step(held, ms, op, token):
+        holder, until = held or (None, 0)
+        free = until <= ms
+        if op == "acquire":
+            return ((token, ms + lease_ms), (True,)) if free else (held, (False,))
+        return (None, (True,)) if not free and holder == token else (held, (False,))
+
+    return ordered_fold(calls, "key", ["ms", "seq"], ["ms", "op", "token"], step, "done boolean").select("key", "seq", "op", "done")
+
+
+def block_until(decided: DataFrame, requests: DataFrame, timeout_ms: int) -> DataFrame:
+    """Waiting with a timeout: the wait until the key's next allowed request, or none and ``timed_out`` if that is too long."""
+    waits = block_for(decided, requests)
+    late = F.col("wait_ms").isNull() | (F.col("wait_ms") >= timeout_ms)
+    return waits.select("key", "seq", F.when(~late, F.col("wait_ms")).alias("wait_ms"), late.alias("timed_out"))
+
+
 def cache_hits(accesses: DataFrame, capacity: int) -> DataFrame:
     """Hits of a cache of ``capacity`` entries with a small first-in queue, a main queue with second chances, and a list of names evicted early."""
     from collections import OrderedDict

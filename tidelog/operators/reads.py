@@ -18,7 +18,7 @@ def get(snap: DataFrame, key: str) -> DataFrame:
 
 def ttl_ms(as_of: int):
     """Milliseconds left: -2 for a missing key, -1 without expiry."""
-    return F.when(F.col("rev").isNull(), -2).when(F.col("expires_at_ms").isNull(), -1).otherwise(F.col("expires_at_ms") - as_of).cast("long")
+    return F.when(F.col("shard").isNull(), -2).when(F.col("expires_at_ms").isNull(), -1).otherwise(F.col("expires_at_ms") - as_of).cast("long")
 
 
 def ttl_s(as_of: int):

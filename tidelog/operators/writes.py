@@ -35,7 +35,7 @@ def taken(resolved: DataFrame) -> DataFrame:
 
 def read_and_expire(requests: DataFrame, snap: DataFrame, expires_at_ms: int | None) -> DataFrame:
     """GETEX: values, and the expiry that live keys get."""
-    return requests.join(snap, "key", "left").select("pos", "key", "value", F.when(F.col("rev").isNotNull(), F.lit(expires_at_ms)).cast("long").alias("expires_at_ms"))
+    return requests.join(snap, "key", "left").select("pos", "key", "value", F.when(F.col("shard").isNotNull(), F.lit(expires_at_ms)).cast("long").alias("expires_at_ms"))
 
 
 def delete_count(requests: DataFrame, snap: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def expirations(resolved: DataFrame) -> DataFrame:
 def expire_at(requests: DataFrame, snap: DataFrame, now: int) -> DataFrame:
     """EXPIREAT of (pos, key, at_ms): a time not after now deletes and returns 1 even for a missing key."""
     past = F.col("at_ms") <= now
-    live = F.col("rev").isNotNull()
-    return requests.join(snap.select("key", "rev"), "key", "left").select(
+    live = F.col("shard").isNotNull()
+    return requests.join(snap.select("key", "shard"), "key", "left").select(
         "pos", "key", "at_ms",
         F.when(past, "DEL").when(live, "TTL").alias("kind"),
         F.when(past | live, 1).otherwise(0).alias("result"),

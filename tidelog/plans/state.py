@@ -3,7 +3,9 @@
 Per key, commands are ordered by (ms, seq). A put or delete opens a segment;
 within it, each command sets or clears the expiry. The key is dead from the
 first command on that finds the expiry passed. All windows partition by the
-key, so that one exchange serves them; revisions add one by shard.
+key, so that one exchange serves them. Revisions are numbered inside short stretches
+of time of a shard, and moved on by what the stretches before hold: no task gets
+a whole shard.
 """
 
 from __future__ import annotations
@@ -12,6 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Milliseconds of a stretch in which revisions are numbered at once.
+STRETCH = 1 << 16
+
+
+def with_revisions(rows: DataFrame) -> DataFrame:
+    """Adds ``rev`` to rows (shard, ms, seq): the shard's hybrid clock, which is the time, but always more than before."""
+    cut = rows.withColumn("_b", F.expr(f"ms div {STRETCH}"))
+    order = Window.partitionBy("shard", "_b").orderBy("ms", "seq")
+    local = cut.withColumn("_n", F.row_number().over(order).cast("long"))
+    local = local.withColumn("_lead", F.max(F.col("ms") - F.col("_n")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # one row for each stretch: how many rows come before, and the furthest that the clock ran ahead there
+    before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    slim = cut.select("shard", "_b", "ms", "seq").withColumn("_n", F.row_number().over(order).cast("long"))
+    totals = slim.groupBy("shard", "_b").agg(F.count("*").alias("_count"), F.max(F.col("ms") - F.col("_n")).alias("_most"))
+    totals = totals.withColumn("_start", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    totals = totals.withColumn("_ahead", F.max(F.col("_most") - F.col("_start")).over(before)).select("shard", "_b", "_start", "_ahead")
+    placed = local.join(totals, ["shard", "_b"])
+    return placed.withColumn("rev", F.col("_start") + F.col("_n") + F.greatest("_ahead", F.col("_lead") - F.col("_start"))).select(*rows.columns, "rev")
+
+
 def resolve(commands: DataFrame) -> DataFrame:
     """Adds what each command finds (``was_*``) and leaves (``live``, ``head_*``)."""
     by_key = Window.partitionBy("key").orderBy("ms", "seq")
@@ -48,10 +70,8 @@ def mutation_log(resolved: DataFrame) -> DataFrame:
     op = F.col("op")
     applied = op.isin("SET", "SETEX") | (F.col("was_live") & (op.isin("DEL", "EXPIRE") | ((op == "PERSIST") & F.col("was_exp").isNotNull())))
     kind = F.when(op.isin("SET", "SETEX"), "PUT").when(op == "DEL", "DEL").otherwise("TTL")
-    order = Window.partitionBy("shard").orderBy("ms", "seq")
-    rows = resolved.filter(applied).withColumns({"kind": kind, "n": F.row_number().over(order).cast("long")})
-    revision = F.col("n") + F.max(F.col("ms") - F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("shard", "key", "ms", "seq", "kind", "value", "meta", F.col("exp_set").alias("expires_at_ms"), revision.alias("rev"))
+    rows = resolved.filter(applied).select("shard", "key", "ms", "seq", kind.alias("kind"), "value", "meta", F.col("exp_set").alias("expires_at_ms"))
+    return with_revisions(rows)
 
 
 def log_state(log: DataFrame, as_of: int) -> DataFrame:
