@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import arrow_map, text_bytes
+from ._joins import join_counted
 from ._words import grams, mix, words
 from .components import components
 from .storage import scratch, written
@@ -500,7 +501,8 @@ def _solve(texts: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         if found.filter("a is null").isEmpty():
             break
     rooted = written(classes.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
-    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "root", "component"))
+    of_root = written(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("c")))
+    named = written(join_counted(rooted, of_root, ["root"], ["sig"]).select("sig", "root", "component"))
     return members, named
 
 

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import arrow_map, text_bytes
+from ._joins import join_counted
 from ._words import grams, mix, words
 from .storage import scratch, written
 
@@ -49,8 +50,6 @@ WINDOW = 35
 GRAM = 11
 #: Different phrases of an anchor up to which they are parsed in one block, and words that a block has, about.
 HOT, BLOCK_WORDS = 4_096, 1_000_000
-#: A class with over one in so many of the rows is broadcast.
-FREQUENT = 1_000
 #: More words than a phrase has: all windows around an anchor.
 LONGEST = 64
 SPACES = r"[\x20\x09-\x0D]+"
@@ -281,21 +280,6 @@ def _counted_windows(phrases: DataFrame) -> DataFrame:
     return windows.join(twice.hint("merge"), ["w", "h"], "left_semi").select("doc_id", "t", "first", F.lit(1).alias("n"))
 
 
-def _of_classes(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are among the classes (keys, c), a written table; c is a class's number of rows.
-
-    Classes that each hold over one in ``FREQUENT`` of all rows are fewer than
-    ``FREQUENT`` and are broadcast; their rows get a salt in the merge join
-    with the others, whatever their number, so that no task gets them all.
-    """
-    least = (classes.agg(F.sum("c")).first()[0] or 0) // FREQUENT
-    frequent = classes.filter(F.col("c") > least).limit(FREQUENT).select(*keys, F.lit(True).alias("_frequent"))  # the limit cuts nothing: it states the bound
-    others = classes.filter(F.col("c") <= least).select(*keys, F.lit(0).alias("_salt"), F.lit(True).alias("_known"))
-    marked = rows.join(F.broadcast(frequent), keys, "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_frequent"), 1 + F.pmod(F.xxhash64("doc_id", "t", "first"), F.lit(1 << 20)).cast("int")).otherwise(0))
-    return salted.join(others.hint("merge"), [*keys, "_salt"], "left").filter("_frequent or _known").select(*rows.columns)
-
-
 def duplicate_spans(df: DataFrame) -> DataFrame:
     """(doc_id, t, spans): runs of duplicate windows of each document with any; t is a hash of its text.
 
@@ -303,13 +287,14 @@ def duplicate_spans(df: DataFrame) -> DataFrame:
     not merged.
     """
     index = written(_anchors(df))
-    found = written(_of_classes(_factors(df), index, ["h"]))
+    found = written(join_counted(_factors(df), index, ["h"], ["doc_id", "t", "first"]).drop("c"))
     classes = written(found.groupBy("h", "f").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "first", "n")).alias("one")))
-    mixed = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h", "k")
-    border = classes.join(mixed.hint("merge"), "h").select("h", "k", "one.*")
+    mixed = written(classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1 and least = 1").select("h", F.col("k").alias("c")))
+    border = join_counted(classes.select("h", "f", "one"), mixed, ["h"], ["f"]).select("h", F.col("c").alias("k"), "one.*")
     phrases = written(_phrases(df, border))
     spans = _parsed(phrases.filter(F.col("k") <= HOT)).union(_counted_windows(phrases.filter(F.col("k") > HOT)))
-    repeated = _of_classes(found, written(classes.filter("c > 1").select("h", "f", "c")), ["h", "f"]).select("doc_id", "t", "first", "n")
+    whole = written(classes.filter("c > 1").select("h", "f", "c"))
+    repeated = join_counted(found, whole, ["h", "f"], ["doc_id", "t", "first"]).select("doc_id", "t", "first", "n")
     return repeated.union(spans).groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
 
