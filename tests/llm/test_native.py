@@ -197,3 +197,15 @@ def test_known_prefixes_need_no_digit(spark):
     got = {r["doc_id"]: r["clean_text"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(keys))] == [f"key {secrets.MASK} x"] * len(keys)
     assert [got[i] for i in range(len(keys), len(rows))] == [t for _, t in rows[len(keys) :]]
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    """Null and repeated ids, a column named like an output, and a text of over 2 MB all arrive once."""
+    from tidelog.llm.sharding import write_shards
+
+    rows = [(1, "a b", 5), (1, "a b", 6), (None, "c", 7), (None, None, 8), (3, "long " * 500_000, 9), (4, "", 10)]
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string, slot int").withColumn("extra", F.col("slot")), str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted((r["extra"], r["doc_id"], r["text"]) for r in back) == sorted(((r[2], r[0], r[1]) for r in rows))
+    for k in {r["shard"] for r in back}:
+        assert sorted(r["slot"] for r in back if r["shard"] == k) == list(range(sum(r["shard"] == k for r in back)))

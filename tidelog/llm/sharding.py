@@ -10,8 +10,9 @@ that shifts it by no more than ``GROUP_SHARE`` of a shard; larger groups are
 split.
 
 Cases with a defined result: a null text has no bytes (size 1) and the
-checksum of an empty text; repeated rows are rows of their own; an empty table
-gives an empty result; with fewer rows than shards some shards are empty.
+checksum of an empty text; a text of any length stays whole; repeated rows and
+null ids are rows of their own; other columns are ignored, and written with the
+shards, except those named shard and slot; an empty table gives an empty result; with fewer rows than shards some shards are empty.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from .storage import written
 GROUP_SHARE = 0.01
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """Slim rows in the global order, with the bytes and rows before each."""
+def _ordered(df: DataFrame, carried: list[str]) -> DataFrame:
+    """Slim rows, and the carried columns, in the global order, with the bytes and rows before each."""
     slim = df.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        *carried,
     )
     order = ("text_hash", "text_crc32", "doc_id")
     # sampled range bounds differ between runs of a plan, so the numbered rows are written once
@@ -53,6 +55,7 @@ def _ordered(df: DataFrame) -> DataFrame:
             "doc_id", "size", "text_crc32", "text_hash",
             (F.col("bytes_start") + F.col("end") - F.col("size")).alias("bytes_before"),
             (F.col("rows_start") + F.col("nth") - 1).alias("rows_before"),
+            *carried,
         )
     )
 
@@ -84,16 +87,16 @@ def _cuts(rows: DataFrame, total: int, n_shards: int) -> list[int]:
     return sorted(moved)
 
 
-def assign(df: DataFrame, n_shards: int = 16) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, shard, and its slot in the shard (gapless from 0)."""
-    rows = _ordered(df)
+def assign(df: DataFrame, n_shards: int = 16, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, shard, and its slot in the shard (gapless from 0); then the carried columns."""
+    rows = _ordered(df, list(carried))
     total = rows.agg(F.sum("size")).first()[0] or 0
     cuts = _cuts(rows, total, n_shards) if total else [0] * (n_shards - 1)
     begun = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     sharded = rows.withColumn("shard", F.size(F.filter(begun, lambda c: c <= F.col("bytes_before") + F.shiftright("size", 1))))
     first = {r["shard"]: r["first"] for r in sharded.groupBy("shard").agg(F.min("rows_before").alias("first")).collect()}
     firsts = F.array(*[F.lit(first.get(k, 0)).cast("long") for k in range(n_shards)])
-    return sharded.select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") - firsts[F.col("shard")]).alias("slot"))
+    return sharded.select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") - firsts[F.col("shard")]).alias("slot"), *carried)
 
 
 def contract(df: DataFrame, n_shards: int = 16) -> DataFrame:
@@ -103,6 +106,7 @@ def contract(df: DataFrame, n_shards: int = 16) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = 16) -> None:
-    """The documents as Parquet folders ``shard=k`` under ``path``; doc ids must be distinct."""
-    placed = df.join(assign(df, n_shards).select("doc_id", "shard", "slot"), "doc_id")
+    """The documents with their slots as Parquet folders ``shard=k`` under ``path``; ids may be null or repeated."""
+    whole = df.select("doc_id", "text", F.struct(*[F.col(c) for c in df.columns if c not in ("shard", "slot")]).alias("_row"))
+    placed = assign(whole, n_shards, ("_row",)).select("_row.*", "shard", "slot")
     placed.write.partitionBy("shard").parquet(path)

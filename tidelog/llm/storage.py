@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,11 +18,21 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is named and all runs on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return (named or _own_dir()).rstrip("/")
 
 
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """The open scratches of a thread, the innermost last."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -29,8 +40,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.paths:
+        _open.paths[-1].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tidelog_path = path
     return table
@@ -49,14 +60,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(table._tidelog_path)
         return table
 
-    _open.append(paths)
+    _open.paths.append(paths)
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.paths.pop()
         for p in paths:
             if p not in kept:
                 at = spark._jvm.org.apache.hadoop.fs.Path(p)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        if _open:
-            _open[-1].extend(kept)
+        if _open.paths:
+            _open.paths[-1].extend(kept)
