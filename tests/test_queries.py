@@ -38,9 +38,66 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs
 
 
+def simulated(calls, capacity):
+    """Hits of each call, with plain lists that are searched anew each time."""
+    first, main, dropped, sizes, again, hits = [], [], [], {}, {}, []
+    for key, size in calls:
+        hits.append(key in sizes)
+        if hits[-1]:
+            again[key] = True
+            continue
+        sizes[key], again[key] = size, False
+        if key in dropped:
+            dropped.remove(key)
+            main.append(key)
+        else:
+            first.append(key)
+        while sum(sizes.values()) > capacity:
+            cold = [k for k in first if not again[k]]
+            if cold:
+                at = first.index(cold[0])
+                moved, first = first[:at], first[at + 1 :]
+                dropped = [*dropped, cold[0]][-64:]
+            else:
+                moved, first = first, []
+            main += moved
+            again.update(dict.fromkeys(moved, False))
+            if not cold:
+                turn = next((i for i, k in enumerate(main) if not again[k]), None)
+                if turn is None:
+                    again.update(dict.fromkeys(main, False))
+                    turn = 0
+                again.update(dict.fromkeys(main[:turn], False))
+                cold = [main[turn]]
+                main = main[turn + 1 :] + main[:turn]
+            del sizes[cold[0]]
+    return hits
+
+
 def test_cache_sim(spark):
+    from tidelog.sources.tables import timed_events
+
+    expected = set()
+    events = timed_events(spark, DATA).select("user_id", "props", "ms", "seq").orderBy("ms", "seq").collect()
+    for shard in range(4):
+        calls = [(f"user:{e['user_id']}", len(f"user:{e['user_id']}") + len(e["props"])) for e in events if e["user_id"] % 4 == shard]
+        expected.add((shard, len(calls), sum(simulated(calls, catalog.CACHE_BYTES))))
     rows = catalog.queries()["cache_sim"](spark, DATA).collect()
-    assert sum(r["reads"] for r in rows) == 1000 and all(0 < r["hits"] < r["reads"] for r in rows)
+    assert {(r["shard"], r["reads"], r["hits"]) for r in rows} == expected
+    assert all(0 < hits < reads for _, reads, hits in expected)
+
+
+def test_schema_patterns(spark):
+    from tidelog.operators import schemas
+
+    rows = [("a.b:1", '{"x": 1}'), ("a.b:12", "[]"), ("aXb:1", "raw"), ("a.b:2", None), ("a.b:3", '{"x": null}')]
+    df = schemas.parsed(spark.createDataFrame(rows, "key string, value string"), {"a.b:*": "x int NOT NULL", "a.*:*": "x string", "*:9": "y int", "a.b:1*": "x int"})
+    got = {r["key"]: (r["schema"], r["data"], r["error"]) for r in df.collect()}
+    assert got["a.b:1"] == ("a.b:1*", '{"x":1}', None)
+    assert got["aXb:1"] == (None, "raw", None)
+    assert got["a.b:2"] == ("a.b:*", None, None)
+    assert got["a.b:3"] == ("a.b:*", None, "schema_error")
+    assert got["a.b:12"] == ("a.b:1*", None, "schema_error")
 
 
 def test_entry_lists_everything(spark):

@@ -13,7 +13,7 @@ from tidelog import oracles
 from tidelog.functions import scalars
 from tidelog.functions.time import HOUR
 from tidelog.operators import commands as kv
-from tidelog.operators import flags, limits, metrics, reads, storage, watch, writes
+from tidelog.operators import flags, limits, metrics, reads, schemas, storage, watch, writes
 from tidelog.plans.state import log_state, mutation_log, resolve, snapshot
 from tidelog.sources.tables import AS_OF, commands, counters, mixed_commands, pages, requests, table, timed_events
 
@@ -25,6 +25,8 @@ BLOB_CHARS = 2000
 RL_LIMIT, RL_WINDOW = 3, 6 * HOUR
 RL_CAPACITY, RL_RATE = 3, 0.00005
 LEASE = HOUR // 2
+CACHE_BYTES = 300
+SCHEMAS = {"ev:*": "k string", "ev:c*": "k bigint", "ev:*:7": "k bigint NOT NULL"}
 
 
 def query(fn: Query) -> Query:
@@ -333,6 +335,13 @@ def compact_live(spark, sf):
     return storage.compacted(_log(spark, sf, AS_OF), AS_OF)
 
 
+@query
+def compact_resume(spark, sf):
+    path = f"{_scratch(spark)}/log"
+    storage.append(storage.rewritten(_log(spark, sf), SINCE), path)
+    return storage.compacted(storage.read(spark, path), AS_OF)
+
+
 @query
 def compact_stats(spark, sf):
     return storage.compaction_stats(_log(spark, sf, AS_OF), AS_OF)
@@ -610,8 +619,10 @@ def lock_release(spark, sf):
 
 @query
 def cache_sim(spark, sf):
-    calls = timed_events(spark, sf).select((F.col("user_id") % 4).cast("int").alias("shard"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"), "ms", "seq")
-    return limits.cache_hits(calls, 16).groupBy("shard").agg(F.count("*").alias("reads"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    key = F.concat(F.lit("user:"), F.col("user_id"))
+    size = F.octet_length(key) + F.octet_length("props")
+    calls = timed_events(spark, sf).select((F.col("user_id") % 4).cast("int").alias("shard"), key.alias("key"), size.cast("long").alias("bytes"), "ms", "seq")
+    return limits.cache_hits(calls, CACHE_BYTES).groupBy("shard").agg(F.count("*").alias("reads"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
 
 
 # -- helpers and metrics ------------------------------------------------------------
@@ -624,6 +635,14 @@ def schema_parse(spark, sf):
     return e.select("seq", F.when(F.col("event_type") == "click", parsed["k"]).alias("k"), F.when(F.col("event_type") != "click", F.col("props")).alias("raw"))
 
 
+@query
+def schema_globs(spark, sf):
+    n = F.col("event_id")
+    value = F.when(n % 11 == 0, "{not json").when(n % 7 == 0, '{"k": "x"}').when(n % 5 == 0, "{}").when(n % 17 != 0, F.col("props"))
+    name = F.concat(F.when(F.col("event_type") == "view", "raw:").otherwise("ev:"), F.col("event_type"), F.lit(":"), F.col("user_id") % 10)
+    return schemas.parsed(timed_events(spark, sf).select("seq", name.alias("key"), value.alias("value")), SCHEMAS).drop("value")
+
+
 @query
 def parse_integers(spark, sf):
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "+").when(F.col("o_orderkey") % 3 == 1, "-").otherwise(""), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(""))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict, deque
 from math import ceil
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,31 +145,35 @@ def block_until(decided: DataFrame, requests: DataFrame, timeout_ms: int) -> Dat
 
 
 def cache_hits(accesses: DataFrame, capacity: int) -> DataFrame:
-    """Hits of a cache of ``capacity`` entries with a small first-in queue, a main queue with second chances, and a list of names evicted early."""
-    from collections import OrderedDict
-
-    small_size = max(1, capacity // 10)
-
-    def step(state, key):
-        small, main, ghost = state or (OrderedDict(), OrderedDict(), OrderedDict())
-        for queue in (small, main):
-            if key in queue:
-                queue[key] = min(3, queue[key] + 1)
-                return (small, main, ghost), (True,)
-        (main if ghost.pop(key, None) is not None else small)[key] = 0
-        while len(small) + len(main) > capacity:
-            if len(small) > small_size or not main:
-                name, uses = small.popitem(last=False)
-                if uses:
-                    main[name] = 0
-                else:
-                    ghost[name] = 0
-                    if len(ghost) > capacity:
-                        ghost.popitem(last=False)
-            else:
-                name, uses = main.popitem(last=False)
-                if uses:
-                    main[name] = uses - 1
-        return (small, main, ghost), (False,)
-
-    return ordered_fold(accesses, "shard", ["ms", "seq"], ["key"], step, "hit boolean").select("shard", "seq", "hit")
+    """Reads (shard, key, bytes, ms, seq) through a cache of ``capacity`` bytes: hit or not; a miss stores the entry.
+
+    New entries wait in a first queue. Room is made from it while it holds any:
+    an entry read since goes over to the main queue, another is dropped and its
+    name kept for a while. A key whose name is kept enters the main queue at once;
+    there, entries read since they last came up go round once more.
+    """
+    names = max(64, capacity // 640)
+
+    def step(state, key, size):
+        cache = state or SimpleNamespace(size={}, read=set(), first=deque(), main=deque(), dropped=OrderedDict(), used=0)
+        if key in cache.size:
+            cache.read.add(key)
+            return cache, (True,)
+        (cache.main if cache.dropped.pop(key, False) else cache.first).append(key)
+        cache.size[key] = max(1, size)
+        cache.used += cache.size[key]
+        while cache.used > capacity:
+            queue = cache.first or cache.main
+            name = queue.popleft()
+            if name in cache.read:
+                cache.read.remove(name)
+                cache.main.append(name)
+                continue
+            cache.used -= cache.size.pop(name)
+            if queue is cache.first:
+                cache.dropped[name] = True
+                if len(cache.dropped) > names:
+                    cache.dropped.popitem(last=False)
+        return cache, (False,)
+
+    return ordered_fold(accesses, "shard", ["ms", "seq"], ["key", "bytes"], step, "hit boolean").select("shard", "seq", "hit")

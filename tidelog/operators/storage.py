@@ -42,6 +42,12 @@ def compacted(log: DataFrame, as_of: int) -> DataFrame:
     return snapshot(log, as_of).select("shard", "key", "value", "meta", "expires_at_ms", "rev")
 
 
+def rewritten(log: DataFrame, as_of: int) -> DataFrame:
+    """The log that a rewrite up to a time leaves: one put for each key live then, at its old place, and all later records."""
+    puts = snapshot(log, as_of, "put_at.ms", "put_at.seq").withColumn("kind", F.lit("PUT"))
+    return puts.select(*log.columns).unionByName(log.filter(F.col("ms") > as_of))
+
+
 def compaction_stats(log: DataFrame, as_of: int) -> DataFrame:
     """Records and live keys of each shard, and the share that a rewrite drops."""
     total = log.filter(F.col("ms") <= as_of).groupBy("shard").agg(F.count("*").alias("records"))

@@ -197,6 +197,18 @@ was AS (SELECT *, LAG(now) OVER (PARTITION BY key ORDER BY pos) AS was FROM nows
 _GLOB_REGEX = {"https://m.*": r"^https://m\..*$", "http://*": r"^http://.*$", "*.html": r"^.*\.html$", "https://[bm]*": r"^https://[bm].*$", "*/en/?*": r"^.*/en/..*$"}
 
 
+_GLOBBED = """WITH e AS (
+  SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'raw:' ELSE 'ev:' END || event_type || ':' || user_id % 10 AS key,
+    CASE WHEN event_id % 11 = 0 THEN '{not json' WHEN event_id % 7 = 0 THEN '{"k": "x"}' WHEN event_id % 5 = 0 THEN '{}' WHEN event_id % 17 <> 0 THEN props END AS value
+  FROM events),
+s AS (SELECT *, CASE WHEN key LIKE 'ev:%:7' THEN 'ev:*:7' WHEN key LIKE 'ev:c%' THEN 'ev:c*' WHEN key LIKE 'ev:%' THEN 'ev:*' END AS schema,
+    CASE WHEN json_valid(value) THEN json_extract_string(value, '$.k') END AS k FROM e),
+t AS (SELECT *, CASE WHEN value IS NOT NULL AND schema IS NOT NULL AND (NOT json_valid(value)
+      OR (schema <> 'ev:*' AND k IS NOT NULL AND TRY_CAST(k AS BIGINT) IS NULL) OR (schema = 'ev:*:7' AND k IS NULL)) THEN 'schema_error' END AS error FROM s)
+SELECT seq, key, schema, error, CASE WHEN schema IS NULL THEN value WHEN value IS NULL OR error IS NOT NULL THEN NULL
+  WHEN k IS NULL THEN '{}' WHEN schema = 'ev:*' THEN '{"k":"' || k || '"}' ELSE '{"k":' || k || '}' END AS data FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     snap, req = f"WITH {_SNAP}", f"WITH {_SNAP_REQ}"
     joined = "FROM requests LEFT JOIN snap USING (key)"
@@ -239,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "recover_state": f"WITH {_LOG},\n{_state(1 << 60)} SELECT key, value, rev, expires_at_ms FROM snap",
         "recover_truncated": f"WITH {_LOG}, good AS (SELECT * EXCLUDE (bad) FROM (SELECT *, MAX(CASE WHEN seq % 1999 = 1998 THEN 1 ELSE 0 END) OVER (PARTITION BY shard ORDER BY rev ROWS UNBOUNDED PRECEDING) AS bad FROM log) WHERE bad = 0),\n{_state(AS_OF, 'good')} SELECT key, value, rev FROM snap",
         "compact_live": f"{snap} SELECT shard, key, value, meta, expires_at_ms, rev FROM snap",
+        "compact_resume": f"{snap} SELECT shard, key, value, meta, expires_at_ms, rev FROM snap",
         "compact_stats": f"{snap}, t AS (SELECT shard, COUNT(*) AS records FROM log WHERE ms <= {AS_OF} GROUP BY 1), l AS (SELECT shard, COUNT(*) AS live FROM snap GROUP BY 1) SELECT shard, records, COALESCE(live, 0) AS live, ROUND(1 - COALESCE(live, 0)::DOUBLE / records, 6) AS dead_share FROM t LEFT JOIN l USING (shard)",
         "blob_dedup": "SELECT * FROM " + _BLOBS.format(more=""),
         "blob_orphans": "SELECT * FROM " + _BLOBS.format(more="") + " WHERE hash NOT IN (SELECT hash FROM " + _BLOBS.format(more="AND doc_id % 2 = 0") + ")",
@@ -282,6 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "swr_classify": _SWR,
         "lock_grants": _LOCK,
         "schema_parse": "SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_type <> 'click' THEN props END AS raw FROM events",
+        "schema_globs": _GLOBBED,
         "parse_integers": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 3 = 1 THEN -o_orderkey ELSE o_orderkey END END AS n FROM orders",
         "key_codecs": "SELECT url AS key, rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS b64, url_encode(url) AS percent, TRUE AS round_trip FROM pages",
         "ns_names": "SELECT DISTINCT name, regexp_full_match(name, '[A-Za-z0-9_-]{1,64}') AS ok FROM (SELECT replace(p_name, ' ', '_') AS name FROM part UNION ALL SELECT p_type FROM part)",

@@ -74,8 +74,11 @@ def mutation_log(resolved: DataFrame) -> DataFrame:
     return with_revisions(rows)
 
 
-def log_state(log: DataFrame, as_of: int) -> DataFrame:
-    """Each key's last put, with the expiry of its last record, whether still live or not: (key, shard, value, meta, rev, expires_at_ms)."""
+def log_state(log: DataFrame, as_of: int, *more: str) -> DataFrame:
+    """Each key's last put, with the expiry of its last record, whether still live or not: (key, shard, value, meta, rev, expires_at_ms).
+
+    ``more`` may name ``put_at.ms`` and ``put_at.seq``.
+    """
     before = log.filter(F.col("ms") <= as_of)
     at = F.struct("ms", "seq")
     put_at = F.when(F.col("kind") == "PUT", at)
@@ -86,9 +89,9 @@ def log_state(log: DataFrame, as_of: int) -> DataFrame:
         F.max_by("expires_at_ms", at).alias("expires_at_ms"),
     )
     present = last.filter(F.col("put_at").isNotNull() & (F.col("del_at").isNull() | (F.col("put_at") > F.col("del_at"))))
-    return present.select("key", "shard", "value", "meta", "rev", "expires_at_ms")
+    return present.select("key", "shard", "value", "meta", "rev", "expires_at_ms", *more)
 
 
-def snapshot(log: DataFrame, as_of: int) -> DataFrame:
+def snapshot(log: DataFrame, as_of: int, *more: str) -> DataFrame:
     """The live keys at a time."""
-    return log_state(log, as_of).filter(F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > as_of))
+    return log_state(log, as_of, *more).filter(F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > as_of))
