@@ -63,6 +63,16 @@ def test_codecs(spark):
     assert check(spark, back, rows, "t string") == [r[0] for r in rows]
 
 
+def test_base64url_is_one_line(spark):
+    import base64
+
+    texts = ["é" + "x" * n for n in (54, 55, 56, 57, 58, 59, 61, 200, 1000)]
+    coded = scalars.base64url(F.encode(F.col("t"), "UTF-8"))
+    assert check(spark, coded, [(t,) for t in texts], "t string") == [base64.urlsafe_b64encode(t.encode()).decode().rstrip("=") for t in texts]
+    back = F.decode(scalars.unbase64url(coded), "UTF-8")
+    assert check(spark, back, [(t,) for t in texts], "t string") == texts
+
+
 def test_namespace(spark):
     rows = [("a-b_9",), ("",), ("x" * 65,), ("a b",), ("a\n",)]
     assert check(spark, scalars.namespace_ok(F.col("t")), rows, "t string") == [True, False, False, False, False]
