@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import limits, reads, storage, writes
+from tidelog.operators import limits, reads, storage, watch, writes
 from tidelog.plans.state import log_state, mutation_log, resolve, snapshot
 
 SCHEMA = "key string, shard int, ms long, seq long, op string, value string, meta string, exp_set long"
@@ -134,3 +134,17 @@ def test_nulls_in_values(spark):
     rows = [("a", 1, "SET", None, None)]
     got = snapshot(mutation_log(resolve(make(spark, rows))), 5).filter(F.col("value").isNull()).collect()
     assert [r["key"] for r in got] == ["a"]
+
+
+def test_snapshot_wins_over_replay_in_any_order(spark):
+    """Sorts that spill merge rows of equal keys in any order, as rows do that come from several machines."""
+    rows = [(f"k{i}", 1000 + i, "SET", f"v{i}", None) for i in range(300)] + [(f"k{i}", 6000 + i, "EXPIRE", None, 19000 + i) for i in range(300)]
+    log = mutation_log(resolve(make(spark, rows)))
+    conf, name = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    before = conf.get(name, str(2**31 - 1))
+    conf.set(name, "40")
+    try:
+        found = watch.from_snapshot(snapshot(log, 12000), log, 1100, "k").collect()
+    finally:
+        conf.set(name, before)
+    assert sorted((r["key"], r["value"], r["expires_at_ms"]) for r in found) == sorted((f"k{i}", f"v{i}", 19000 + i) for i in range(300))

@@ -21,9 +21,14 @@ def replay_keys(log: DataFrame, keys: DataFrame, since: int) -> DataFrame:
 
 
 def from_snapshot(snap: DataFrame, log: DataFrame, since: int, prefix: str = "") -> DataFrame:
-    """A first subscription that began before its scan: all live keys, then what the log has after a revision, nothing twice."""
-    both = initial(snap, prefix).union(replay(log, since, prefix))
-    return both.dropDuplicates(["key", "rev"])
+    """A first subscription that began before its scan: all live keys, then what the log has after a revision, nothing twice.
+
+    A put that both have is taken from the snapshot, whose expiry may have been moved since.
+    """
+    event = F.struct("type", "value", "expires_at_ms")
+    scanned, replayed = (rows.select("key", "rev", event.alias("event"), F.lit(n).alias("place")) for n, rows in enumerate((initial(snap, prefix), replay(log, since, prefix))))
+    first = scanned.union(replayed).groupBy("key", "rev").agg(F.min_by("event", "place").alias("event"))
+    return first.select("event.type", "key", "event.value", "event.expires_at_ms", "rev")
 
 
 def initial(snap: DataFrame, prefix: str = "") -> DataFrame:
