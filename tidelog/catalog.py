@@ -478,7 +478,7 @@ def flag_eval(spark, sf):
 @query
 def flag_rules(spark, sf):
     defs = flags.definitions(_entries(spark))
-    rows = _contexts(spark, sf).crossJoin(defs)
+    rows = flags.paired(_contexts(spark, sf), defs)
     return rows.select("id", "flag", flags.first_rule(F.col("rules"), F.col("attributes"), F.col("id")).alias("hit")).filter("hit is not null").select("id", "flag", F.col("hit.index").cast("int").alias("rule"), "hit.value")
 
 

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
+def fnv_bytes(text: Column) -> Column:
+    """What FNV-1a takes of a text that is not empty: of a UTF-16 unit above 0xFF the high byte, then the low byte; of others one byte."""
+    plain, units = text.cast("binary"), F.encode(text, "UTF-16BE")
+    ascii_codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.ascii(F.substring(plain, i, F.lit(1)).cast("string")).cast("long"))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(units)), lambda i: F.conv(F.hex(F.substring(units, i, F.lit(1))), 16, 10).cast("long"))
+    return F.when(F.octet_length(text) == F.char_length(text), ascii_codes).otherwise(F.filter(codes, lambda x, i: (i % 2 == 1) | (x != 0)))
+
+
+def fnv_mixed(start: Column, taken: Column) -> Column:
+    """The hash that ``start`` becomes with further bytes: that of two texts in a row is got from the first one's hash."""
+    return F.aggregate(taken, start, lambda h, x: (h.bitwiseXOR(x) * FNV_PRIME) % 4294967296)
+
+
 def fnv1a32(text: Column) -> Column:
     """FNV-1a over UTF-16 units: a unit above 0xFF feeds its high byte, then its low byte; others one byte."""
-    units = F.encode(text, "UTF-16BE")
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(units)), lambda i: F.conv(F.hex(F.substring(units, i, F.lit(1))), 16, 10).cast("long"))
-    bytes_ = F.filter(codes, lambda x, i: (i % 2 == 1) | (x != 0))
-    mixed = F.aggregate(bytes_, F.lit(FNV_OFFSET).cast("long"), lambda h, x: (h.bitwiseXOR(x) * FNV_PRIME) % 4294967296)
-    return F.when(F.octet_length(units) == 0, F.lit(FNV_OFFSET).cast("long")).otherwise(mixed)
+    offset = F.lit(FNV_OFFSET).cast("long")
+    return F.when(F.octet_length(text) == 0, offset).otherwise(fnv_mixed(offset, fnv_bytes(text)))
 
 
 def bucket(unit_id: Column, flag: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.scalars import bucket
+from tidelog.functions.scalars import fnv1a32, fnv_bytes, fnv_mixed
 
 DEFINITION = T.StructType([
     T.StructField("on", T.BooleanType()),
@@ -16,10 +16,17 @@ DEFINITION = T.StructType([
 
 
 def definitions(entries: DataFrame) -> DataFrame:
-    """(flag, on, rules, rollout) of entries ``flags:def:<name>``; those without a boolean ``on`` are left out."""
+    """(flag, on, rules, rollout) of entries ``flags:def:<name>``; those without a boolean ``on`` are left out.
+
+    A rule has its value and its conditions, each with the key and the list of values
+    that fit, so that these are parsed once for a definition, not for each context.
+    """
     prefix = "flags:def:"
     parsed = entries.filter(F.col("key").startswith(prefix)).select(F.substring("key", len(prefix) + 1, 1000).alias("flag"), F.from_json("value", DEFINITION).alias("d"))
-    return parsed.select("flag", "d.on", "d.rules", "d.rollout").filter(F.col("on").isNotNull())
+    values = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))
+    conditions = lambda when: F.transform(F.map_entries(when), lambda c: F.struct(c["key"].alias("key"), values(c["value"]).alias("values")))
+    rules = F.transform("d.rules", lambda r: F.struct(r["value"].alias("value"), conditions(r["when"]).alias("conditions")))
+    return parsed.select("flag", "d.on", rules.alias("rules"), "d.rollout").filter(F.col("on").isNotNull())
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -30,34 +37,49 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def first_rule(rules, attributes, unit_id):
-    """(index, value) of the first rule whose conditions all hold.
+    """(index, value) of the first rule, as ``definitions`` has them, whose conditions all hold.
 
     A condition names one value or lists some, of an attribute or of ``id``; a
     missing attribute fails, no conditions hold.
     """
-    values = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.array(v))
     actual = lambda k: F.when(k == "id", unit_id).otherwise(attributes[k])
     hits = F.filter(
-        F.transform(rules, lambda r, i: F.struct(i.alias("index"), r["value"].alias("value"), F.forall(F.map_entries(r["when"]), lambda c: F.coalesce(F.array_contains(values(c["value"]), actual(c["key"])), F.lit(False))).alias("hit"))),
+        F.transform(rules, lambda r, i: F.struct(i.alias("index"), r["value"].alias("value"), F.forall(r["conditions"], lambda c: F.coalesce(F.array_contains(c["values"], actual(c["key"])), F.lit(False))).alias("hit"))),
         lambda r: r["hit"],
     )
     return F.get(hits, F.lit(0))
 
 
+def paired(contexts: DataFrame, config: DataFrame) -> DataFrame:
+    """Every context, with its hash, and every row of a table of flags or definitions.
+
+    These are configuration, which each evaluating process holds whole, and are
+    broadcast, lest the contexts be. The contexts are dealt to all tasks, as a small file
+    of them makes many rows; those without an id are dealt one by one.
+    """
+    key = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("id"))
+    dealt = contexts.withColumn("_deal", key).repartition("_deal").drop("_deal")
+    return dealt.withColumn("_hash", fnv1a32(F.col("id"))).crossJoin(F.broadcast(config))
+
+
 def evaluate(contexts: DataFrame, flags: DataFrame, defs: DataFrame, prefs: DataFrame, allow_empty: bool = False) -> DataFrame:
     """One row per context (id, attributes, override map) and flag (flag, default): value, reason, rule.
 
     Order: off, user preference, override, no definition, first rule, rollout,
     default. A missing id is an error and gives the default; ``allow_empty`` lets
-    the empty one pass, as the common flag interface does. The tables of flags and
-    definitions are configuration; whether they are broadcast is left to their size.
+    the empty one pass, as the common flag interface does. Preferences are joined to the
+    contexts before these meet the flags; of several for an id and a flag the greatest counts.
     """
-    asked = flags.join(defs, "flag", "left")
-    rows = contexts.crossJoin(asked).join(prefs, ["id", "flag"], "left")
-    rows = rows.withColumn("rule_hit", first_rule(F.col("rules"), F.col("attributes"), F.col("id")))
-    override = F.col("overrides")[F.col("flag")]
+    chosen = prefs.groupBy("id").agg(F.collect_list(F.struct("flag", "pref")).alias("_prefs"))
+    asked = flags.join(defs, "flag", "left").withColumn("_tail", fnv_bytes(F.concat(F.lit(":"), F.col("flag"))))
+    rows = paired(contexts.join(chosen, "id", "left"), asked)
     percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("rollout.percent")))
-    rolled = F.when(percent > 0, bucket(F.col("id"), F.col("flag")) < percent)  # hashed only where there is a rollout
+    rows = rows.withColumns({
+        "pref": F.array_max(F.transform(F.filter("_prefs", lambda p: p["flag"] == F.col("flag")), lambda p: p["pref"])),
+        "rule_hit": first_rule(F.col("rules"), F.col("attributes"), F.col("id")),
+        "rolled": F.when(percent > 0, fnv_mixed(F.col("_hash"), F.col("_tail")) % 100 < percent),  # hashed only where there is a rollout
+    })
+    override = F.col("overrides")[F.col("flag")]
     cases = [
         (F.col("id").isNull() | ((F.col("id") == "") & F.lit(not allow_empty)), "error", F.col("default")),
         (F.col("on") == F.lit(False), "off", F.col("default")),
@@ -65,7 +87,7 @@ def evaluate(contexts: DataFrame, flags: DataFrame, defs: DataFrame, prefs: Data
         (override.isNotNull(), "override", override),
         (F.col("on").isNull(), "no-snapshot", F.col("default")),
         (F.col("rule_hit").isNotNull(), "rule", F.col("rule_hit.value")),
-        (F.coalesce(rolled, F.lit(False)), "rollout", F.coalesce("rollout.value", F.lit("true"))),
+        (F.coalesce("rolled", F.lit(False)), "rollout", F.coalesce("rollout.value", F.lit("true"))),
     ]
     reason = value = None
     for test, name, result in cases:
