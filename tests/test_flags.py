@@ -58,3 +58,9 @@ def test_contexts_are_dealt_not_broadcast(spark):
     found = plan(flags.evaluate(*inputs(spark)))
     assert "BroadcastNestedLoopJoin BuildRight" in found
     assert "REPARTITION_BY_COL" in found and "CartesianProduct" not in found
+
+
+def test_open_details_keep_rows_in_place(spark):
+    evaluated, (_, asked, _, _) = flags.evaluate(*inputs(spark)), inputs(spark)
+    own, more = plan(evaluated), plan(flags.open_details(evaluated, asked))
+    assert more.count("SortMergeJoin") == own.count("SortMergeJoin") and more.count("Exchange hash") == own.count("Exchange hash")
