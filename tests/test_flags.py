@@ -64,3 +64,9 @@ def test_open_details_keep_rows_in_place(spark):
     evaluated, (_, asked, _, _) = flags.evaluate(*inputs(spark)), inputs(spark)
     own, more = plan(evaluated), plan(flags.open_details(evaluated, asked))
     assert more.count("SortMergeJoin") == own.count("SortMergeJoin") and more.count("Exchange hash") == own.count("Exchange hash")
+
+
+def test_typed_details_keep_rows_in_place(spark):
+    evaluated, (_, asked, _, _) = flags.evaluate(*inputs(spark)), inputs(spark)
+    own, more = plan(evaluated), plan(flags.typed_details(evaluated, asked.withColumn("kind", F.lit("string"))))
+    assert more.count("SortMergeJoin") == own.count("SortMergeJoin") and more.count("Exchange hash") == own.count("Exchange hash")

@@ -115,7 +115,9 @@ def typed_details(evaluated: DataFrame, flags: DataFrame) -> DataFrame:
     number = value.rlike(r"\A-?[0-9]+(\.[0-9]+)?\z")
     structured = value.rlike(r"\A\s*[\[{]") & F.try_parse_json(value).isNotNull()
     good = F.when(kind == "boolean", value.isin("true", "false")).when(kind == "number", number).when(kind == "object", structured).otherwise(value.isNotNull())
-    return evaluated.join(flags.select("flag", "default", "kind"), "flag").select("id", "flag", F.when(good, value).otherwise(F.col("default")).alias("value"), F.when(good, names[F.col("reason")]).otherwise("ERROR").alias("reason"))
+    rows = evaluated.join(F.broadcast(flags.select("flag", "default", "kind")), "flag").withColumn("good", good)
+    good = F.col("good")
+    return rows.select("id", "flag", F.when(good, value).otherwise(F.col("default")).alias("value"), F.when(good, names[F.col("reason")]).otherwise("ERROR").alias("reason"))
 
 
 def folded_prefs(changes: DataFrame) -> DataFrame:
