@@ -125,6 +125,16 @@ def test_ratio_equals_a_plain_count(spark):
     assert abs(ratio[bucket("cc", "dd")] - expected) < 1e-5
 
 
+def test_trusted_ids_are_never_broadcast(spark):
+    """The plan is one at every size; a join that was broadcast for few labels grew to shuffle all texts for many."""
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "d"), (None, "e"), (3, None)], "doc_id long, text string")
+    rows = quality.flagged(df, labels_for(spark, [(1, 1, 0), (3, 0, 0)]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == [(1, "a b"), (1, "c"), (None, "d"), (None, "e"), (None, None)]
+
+
+
 # -- secrets ----------------------------------------------------------------
 
 CASES = [

@@ -99,14 +99,23 @@ def _buckets(text: Column) -> Column:
     return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0)), both)
 
 
-def weights(df: DataFrame, labels: DataFrame) -> list[float]:
-    """Log ratio of each bucket's probability: trusted documents against all."""
+def flagged(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """(trusted, text) of all rows, ``trusted`` 1 or null.
+
+    The join is a shuffled one at every size: ids of trusted documents grow with the
+    input and are never broadcast, and they are hashed, as texts would take disk to sort.
+    """
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
     texts = df.select("doc_id", "text")
     # rows without an id go past the join, where they would all meet in one task
-    flagged = texts.filter("doc_id is not null").join(trusted, "doc_id", "left").select("trusted", "text").union(texts.filter("doc_id is null").select(F.lit(None).cast("int"), "text"))
+    known = texts.filter("doc_id is not null").join(trusted.hint("shuffle_hash"), "doc_id", "left").select("trusted", "text")
+    return known.union(texts.filter("doc_id is null").select(F.lit(None).cast("int"), "text"))
+
+
+def weights(df: DataFrame, labels: DataFrame) -> list[float]:
+    """Log ratio of each bucket's probability: trusted documents against all."""
     rows = (
-        flagged.select("trusted", F.explode(_buckets(F.col("text"))).alias("bucket"))
+        flagged(df, labels).select("trusted", F.explode(_buckets(F.col("text"))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
     )
